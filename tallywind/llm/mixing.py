@@ -95,24 +95,31 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = 25, close
     for i, j in pairs:
         gram[i, j] = gram[j, i] = first[f"g{i}{j}"] or 0.0
     goal, whole = total * [targets[d] for d in DOMAINS], np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    inverse, rate, now = whole, F.lit(1.0), total
+    inverse, taken, now = whole, [], total
+
+    def rate(ys: list[np.ndarray]) -> Column:
+        if not ys:
+            return F.lit(1.0)
+        steps_taken = F.array(*(F.array(*(F.lit(float(v)) for v in y)) for y in ys))
+        return F.aggregate(steps_taken, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - sum((p * F.get(y, i) for i, p in enumerate(part)), start=F.lit(0.0))))
+
     miss = lambda x: float((x - goal) @ whole @ (x - goal))
     for _ in range(steps):
         if np.abs(now - goal).max() <= close * max(1.0, total.sum()):
             break
         y = inverse @ (now - goal)
-        step = F.greatest(F.lit(0.0), rate - sum((p * float(v) for p, v in zip(part, y, strict=True)), start=F.lit(0.0)))
-        active = [F.sum(F.when(step > 0, part[i] * part[j])).alias(f"g{i}{j}") for i, j in pairs]
-        got = rows.agg(*(F.sum(step * x).alias(f"t{i}") for i, x in enumerate(part)), *active).first()
+        r = F.col("rate")
+        active = [F.sum(F.when(r > 0, part[i] * part[j])).alias(f"g{i}{j}") for i, j in pairs]
+        got = rows.withColumn("rate", rate([*taken, y])).agg(*(F.sum(r * x).alias(f"t{i}") for i, x in enumerate(part)), *active).first()
         then = np.array([got[f"t{i}"] or 0.0 for i in range(3)])
         if inverse is not whole and miss(then) > miss(now):  # the rows at 0 came back: a step by the whole Gram matrix can't fail
             inverse = whole
             continue
-        rate, now = step, then
+        taken, now = [*taken, y], then
         for i, j in pairs:
             gram[i, j] = gram[j, i] = got[f"g{i}{j}"] or 0.0
         inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    return rate
+    return rate(taken)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 5000, words: int = 16, seed: int = 7) -> DataFrame:

@@ -41,14 +41,29 @@ CONTEXT = {
 NEAR, LEAST = 40, 0.75
 
 
-def _starts(widths: Column, before: Column) -> Column:
-    """before[i] plus the sum of widths before i, for every i of widths."""
-    n = F.size(widths)
-    block = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    sums = F.transform(F.sequence(F.lit(0), ((n - 1) / block).cast("int")), lambda b: total(F.slice(widths, b * block + 1, block)))
-    ahead = F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
-    return F.transform(before, lambda x, i: x + F.get(ahead, (i / block).cast("int")) + total(F.slice(widths, (i / block).cast("int") * block + 1, i % block)))
+SPAN = "struct<start:long,end:long,score:double>"
+
+
+def _if(condition: Column, value: Column, kind: str) -> Column:
+    return F.when(condition, value).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _block_sums(k: str) -> Column:
+    width, block = F.col(f"{k}_width"), F.col(f"{k}_block")
+    return F.transform(F.sequence(F.lit(0), ((F.size(width) - 1) / block).cast("int")), lambda b: _total(F.slice(width, b * block + 1, block)))
+
+
+def _sum_before(sums: Column):
+    return lambda _, i: _total(F.slice(sums, F.lit(1), i))
+
+
+def _start(k: str):
+    width, block, ahead = F.col(f"{k}_width"), F.col(f"{k}_block"), F.col(f"{k}_ahead")
+    return lambda gap, i: gap + F.get(ahead, (i / block).cast("int")) + _total(F.slice(width, (i / block).cast("int") * block + 1, i % block))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -84,23 +99,16 @@ def _span(k: str):
 def find(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """doc_id and, for each kind, an array of struct(start, end, score) in the order of the text."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for k in kinds:
-        may = F.contains("text", F.lit(SIGNS[k])) if k in SIGNS else F.lit(True)
-        none = F.array().cast("array<string>")
-        found = F.when(may, F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none)
-        df = df.withColumn(k, found)
-    for k in kinds:
-        df = df.withColumn(f"{k}_gaps", F.when(F.size(k) > 0, F.split("text", PATTERNS[k], -1)).otherwise(F.array().cast("array<string>")))
-    df = df.drop("text")
-    for k in kinds:
-        gap = F.transform(F.col(f"{k}_gaps"), F.length)
-        df = df.withColumn(f"{k}_before", F.slice(gap, F.lit(1), F.size(k)))
-    for k in kinds:
-        widths = F.zip_with(f"{k}_before", k, lambda g, m: g + F.length(m))
-        df = df.withColumn(f"{k}_start", F.when(F.size(k) > 0, _starts(widths, F.col(f"{k}_before"))).otherwise(F.array().cast("array<int>")))
-    for k in kinds:
-        kept = F.filter(F.transform(F.col(k), _span(k)), _kept(k))
-        df = df.withColumn(f"{k}_found", F.when(F.size(k) > 0, F.transform(kept, lambda s: F.struct(s.start, s.end, s.score))).otherwise(F.array().cast("array<struct<start:long,end:long,score:double>>")))
+    df = df.withColumns({k: _if(F.contains("text", F.lit(SIGNS[k])) if k in SIGNS else F.lit(True), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)), "string") for k in kinds})
+    df = df.withColumns({f"{k}_gaps": _if(F.size(k) > 0, F.split("text", PATTERNS[k], -1), "string") for k in kinds}).drop("text")
+    # Each step is a projection of its own. A column that a lambda captures is named twice in its step: Catalyst
+    # inlines columns that are named once, and would evaluate them anew for each element.
+    df = df.withColumns({f"{k}_before": F.slice(F.transform(F.col(f"{k}_gaps"), F.length), F.lit(1), F.size(k)) for k in kinds})
+    df = df.withColumns({f"{k}_width": F.zip_with(f"{k}_before", k, lambda g, m: g + F.length(m)) for k in kinds} | {f"{k}_block": F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(k))).cast("int")) for k in kinds})
+    df = df.withColumns({f"{k}_sum": _if(F.size(f"{k}_width") > 0, _block_sums(k), "int") for k in kinds})
+    df = df.withColumns({f"{k}_ahead": F.transform(F.col(f"{k}_sum"), _sum_before(F.col(f"{k}_sum"))) for k in kinds})
+    df = df.withColumns({f"{k}_start": _if((F.size(f"{k}_width") > 0) & (F.size(f"{k}_ahead") > 0), F.transform(F.col(f"{k}_before"), _start(k)), "int") for k in kinds})
+    df = df.withColumns({f"{k}_found": _if(F.size(k) > 0, F.transform(F.filter(F.transform(F.col(k), _span(k)), _kept(k)), lambda s: F.struct(s.start, s.end, s.score)), SPAN) for k in kinds})
     return df.select("doc_id", *(F.col(f"{k}_found").alias(k) for k in kinds))
 
 
