@@ -49,6 +49,11 @@ def _clean() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(files: DataFrame, most: int = 10_000) -> int:
+    """A number of partitions for a table that names files, so that tasks hold few files each."""
+    return max(1, min(files.count(), most))
+
+
 def shared_fs(uri: str):
     """(pyarrow filesystem, path in it), for files that Python workers write and read in the shared folder."""
     from pyarrow import fs

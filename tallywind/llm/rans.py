@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywind.llm.common import new_folder, read_file, save, write_file
+from tallywind.llm.common import new_folder, read_file, save, spread, write_file
 
 BITS, LOW, LANES, STEPS, EVERY = 18, np.uint64(1 << 31), 2048, 256, 128
 FILE_IDS = 1 << 22
@@ -189,4 +189,6 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
 
 def read_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the manifest's files, from the decoded ids."""
-    return manifest.select("path", "before").repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.select("path", "before")
+    # A stated number of partitions: rows this small would be put into one task, which would decode every file.
+    return files.repartition(spread(files), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
