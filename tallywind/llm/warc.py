@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywind.llm.common import new_folder, read_file, save, shared_fs, write_file
+from tallywind.llm.common import new_folder, read_file, save, shared_fs, spread, write_file
 
 ROLL = 32 << 20
 STEP = 1 << 20
@@ -182,9 +182,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, shared_from: int
 def normalise_archives(names: DataFrame, folder: str | None = None, level: int = 6) -> DataFrame:
     """Rewrite the named archives (archive string) with a member per record; the index of all of them."""
     folder = folder or new_folder(names.sparkSession, "warc-members")
-    return save(names.repartition("archive").mapInArrow(_normalise(folder, level), INDEX), "warc-index")
+    return save(names.repartition(spread(names), "archive").mapInArrow(_normalise(folder, level), INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that the index names."""
-    return index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(_read, RESULT)
+    return index.select("archive", "offset", "length").repartition(spread(index.select("archive").distinct()), "archive").sortWithinPartitions("archive", "offset").mapInArrow(_read, RESULT)
