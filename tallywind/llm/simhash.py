@@ -8,6 +8,9 @@ Candidates come from an equi-join on (segment, value), the whole distance is ver
 and only links leave it: at most 2080 other fingerprints are that near, so the links of a fingerprint are bounded.
 Exact copies share a fingerprint and meet the join once.
 
+near_copies and keep_one link by a similarity of word shingles instead: wider fingerprints, more and shorter segments,
+and a larger whole distance. There the segments find most links, not all: see the README for the measured share.
+
 Defined results: null and wordless texts have fingerprint zero, linked like any other; a null doc_id gets its row
 (it is never a component's smallest id, unless all are null); repeated rows stay; an empty table gives no rows;
 other columns, whatever their names, aren't read. Whole texts count, in bounded steps.
@@ -15,6 +18,7 @@ other columns, whatever their names, aren't read. Whole texts count, in bounded
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice, repeat
 
@@ -22,16 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tallywind.llm.common import connected_components, save
 
 STEP = 1 << 16
+#: Wide fingerprints for a similarity threshold: 64-bit words, bits of a segment, standard deviations beyond the threshold.
+WIDTH, SEGMENT, SLACK = 6, 21, 0.5
+PARTS = [f"w{i}" for i in range(WIDTH)]
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit majority fingerprint, as a signed number."""
-    from xxhash import xxh64_intdigest
-
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
         return 0
@@ -79,8 +85,82 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
     return each.join(of.join(smallest, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
+def wide_fingerprint(text: str | None, words_per_shingle: int = 5, seed: int = 42, width: int = WIDTH) -> list[int]:
+    """`width` 64-bit majority fingerprints over independent mixes of the shingles' hashes, as signed numbers."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * width
+    k = min(words_per_shingle, len(words))
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
+    ones, n = np.zeros((width, 64), np.int64), len(words) - k + 1
+    for at in range(0, n, STEP):
+        h = np.fromiter(map(xxh64_intdigest, islice(shingles, STEP), repeat(seed)), "<u8", min(STEP, n - at))
+        for i in range(width):
+            bits = np.unpackbits(_remix(h, i).view(np.uint8), bitorder="little").reshape(-1, 64)
+            ones[i] += bits.sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def _remix(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th of a family of one-to-one mixes of 64-bit hashes (xor-shifts and odd multipliers)."""
+    x = h ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _wide(words_per_shingle: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = [wide_fingerprint(t.as_py(), words_per_shingle, seed) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in prints], pa.int64()) for i in range(WIDTH))], ["doc_id", *PARTS])
+
+    return run
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id and component_id (smallest doc_id that links reach) for links at a Jaccard similarity of word shingles.
+
+    Two sets of one size whose Jaccard similarity is J have the cosine 2J / (1 + J), and majority bits over them differ
+    with probability acos(cosine) / pi. A link is a distance over WIDTH * 64 bits of at most that share for `similarity`,
+    and SLACK standard deviations more, so that texts at the threshold are rather linked than lost.
+    Candidates agree in one of the segments of SEGMENT bits up to one bit. First each segment value's members are compared
+    with its smallest member, which joins large groups by as many rows as they have members; then balls of radius 1 meet
+    the table, between different components only, with the first 64 bits checked in the join and all bits after it."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = lambda bits, slack: int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+    far, first = most(64 * WIDTH, SLACK), most(64, 2.5)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    each = save(texts.mapInArrow(_wide(words_per_shingle, seed), ", ".join(["doc_id long", *(f"{p} long" for p in PARTS)])).withColumn("node", F.xxhash64(*PARTS)), "wide-fingerprints")
+    nodes = save(each.groupBy("node", *PARTS).agg(F.min("doc_id").alias("first_id")), "distinct-wide")
+    bits = lambda a, b: sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARTS), start=F.lit(0))
+    mask = (1 << SEGMENT) - 1
+    cut = [(i, F.shiftrightunsigned(p, SEGMENT * j).bitwiseAND(F.lit(mask))) for i, (p, j) in enumerate((p, j) for p in PARTS for j in range(64 // SEGMENT))]
+    keyed = F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), v.alias("val")) for i, v in cut)))
+    table = nodes.select("node", *PARTS, keyed.alias("t")).select("node", *PARTS, "t.*")
+    least = table.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", *PARTS)).alias("r")).where("n > 1").select("seg", "val", "r.*")
+    star = table.alias("a").join(least.alias("b"), ["seg", "val"]).where((F.col("a.node") != F.col("b.node")) & (bits("a", "b") <= far))
+    stars = save(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "stars")
+    parts = save(connected_components(stars), "star-parts")
+    of = nodes.join(parts.select("node", "component"), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    narrow = save(of.select("node", "part", *PARTS), "parts-of-nodes").select("node", "part", F.col(PARTS[0]).alias("check"), keyed.alias("t")).select("node", "part", "check", "t.*")
+    flips = F.expr(f"transform(filter(sequence(0, {SEGMENT - 1}), i -> (val & shiftleft(1L, i)) = 0), i -> val | shiftleft(1L, i))")
+    probes = narrow.select("node", "part", "check", "seg", "val", F.explode(F.concat(F.array("val"), flips)).alias("ball"))
+    t, p = narrow.alias("t"), probes.alias("p")
+    once = (F.col("ball") != F.col("p.val")) | (F.col("p.node") < F.col("t.node"))
+    near = F.bit_count(F.col("t.check").bitwiseXOR(F.col("p.check"))) <= first
+    met = t.join(p, (F.col("t.seg") == F.col("p.seg")) & (F.col("t.val") == F.col("ball")) & (F.col("t.part") != F.col("p.part")) & once & near)
+    met = met.select(F.least("t.node", "p.node").alias("a"), F.greatest("t.node", "p.node").alias("b")).distinct()
+    x, y = nodes.select(F.col("node").alias("a"), *PARTS).alias("x"), nodes.select(F.col("node").alias("b"), *PARTS).alias("y")
+    links = met.join(x, "a").join(y, "b").where(bits("x", "y") <= far).select("a", "b")
+    parts = connected_components(stars.union(links))
+    of = nodes.join(parts, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("part"))
+    smallest = of.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    return each.join(of.join(smallest, "part").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the documents that are near-duplicates of one with a smaller doc_id. Of rows that repeat
     a doc_id all stay or all go."""
-    gone = near_duplicates(docs, words_per_shingle).where("doc_id != component_id").select("doc_id").distinct()
+    gone = near_copies(docs, similarity, words_per_shingle).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

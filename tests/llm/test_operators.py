@@ -227,6 +227,37 @@ def test_simhash_matches_brute_force(spark, sf):
         assert kept.columns == df.columns
 
 
+def test_near_copies_against_exact_similarity(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, sets = [], {}
+    for group in range(12):
+        base = list(rng.choice(vocabulary, 300))
+        for version in range(6):
+            text = list(base)
+            for at in rng.choice(300, version, replace=False):
+                text[at] = "changed"
+            rows.append((len(rows), " ".join(text)))
+            sets[rows[-1][0]] = (group, {tuple(text[i : i + 5]) for i in range(296)})
+    extra = [(None, "alone"), (900, None), (901, ""), (902, " "), (903, "few words"), (903, "few words"), (904, "Few\nWORDS"), (905, "y " * 70_000)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows + extra, "doc_id long, text string")).collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    jaccard = {(a, b): len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]) for a, b in pairs}
+    close = [p for p in pairs if jaccard[p] >= 0.8]
+    assert len(close) > 100 and np.mean([got[a] == got[b] for a, b in close]) >= 0.95
+    assert all(got[a] != got[b] for a, b in pairs if sets[a][0] != sets[b][0])
+    assert [got[i] for i in (900, 901, 902, 903, 904, 905)] == [900, 900, 900, 903, 903, 905] and None in got
+    empty = spark.createDataFrame([], "doc_id long, text string, node long, w0 string, component_id int")
+    kept = simhash.keep_one(empty)
+    assert kept.columns == empty.columns and kept.count() == 0
+
+
+def test_keep_one_keeps_the_smallest(spark):
+    text = " ".join(f"t{i}" for i in range(400))
+    df = spark.createDataFrame([(7, text, 1), (3, text + " end", 2), (9, "other words altogether here now", 3), (None, text, 4)], "doc_id long, text string, node int")
+    assert sorted(r.node for r in simhash.keep_one(df).collect()) == [2, 3, 4]
+
+
 def test_hamming_links_are_complete(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(-(2**63), 2**63, 60)]
