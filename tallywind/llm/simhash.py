@@ -126,7 +126,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     and SLACK standard deviations more, so that texts at the threshold are rather linked than lost.
     Candidates agree in one of the segments of SEGMENT bits up to one bit. First each segment value's members are compared
     with its smallest member, which joins large groups by as many rows as they have members; then balls of radius 1 meet
-    the table, between different components only, with the first 64 bits checked in the join and all bits after it."""
+    the table, between different components only, with the first 64 bits checked in the join and all bits after it.
+    The second search for components runs over the first ones, joined by the new links."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = lambda bits, slack: int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
     far, first = most(64 * WIDTH, SLACK), most(64, 2.5)
@@ -143,7 +144,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     stars = save(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "stars")
     parts = save(connected_components(stars), "star-parts")
     of = nodes.join(parts.select("node", "component"), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    narrow = save(of.select("node", "part", *PARTS), "parts-of-nodes").select("node", "part", F.col(PARTS[0]).alias("check"), keyed.alias("t")).select("node", "part", "check", "t.*")
+    of = save(of.select("node", "part", "first_id", *PARTS), "parts-of-nodes")
+    narrow = of.select("node", "part", F.col(PARTS[0]).alias("check"), keyed.alias("t")).select("node", "part", "check", "t.*")
     flips = F.expr(f"transform(filter(sequence(0, {SEGMENT - 1}), i -> (val & shiftleft(1L, i)) = 0), i -> val | shiftleft(1L, i))")
     probes = narrow.select("node", "part", "check", "seg", "val", F.explode(F.concat(F.array("val"), flips)).alias("ball"))
     t, p = narrow.alias("t"), probes.alias("p")
@@ -151,12 +153,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     near = F.bit_count(F.col("t.check").bitwiseXOR(F.col("p.check"))) <= first
     met = t.join(p, (F.col("t.seg") == F.col("p.seg")) & (F.col("t.val") == F.col("ball")) & (F.col("t.part") != F.col("p.part")) & once & near)
     met = met.select(F.least("t.node", "p.node").alias("a"), F.greatest("t.node", "p.node").alias("b")).distinct()
-    x, y = nodes.select(F.col("node").alias("a"), *PARTS).alias("x"), nodes.select(F.col("node").alias("b"), *PARTS).alias("y")
-    links = met.join(x, "a").join(y, "b").where(bits("x", "y") <= far).select("a", "b")
-    parts = connected_components(stars.union(links))
-    of = nodes.join(parts, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("part"))
-    smallest = of.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    return each.join(of.join(smallest, "part").select("node", "component_id"), "node").select("doc_id", "component_id")
+    x, y = of.select(F.col("node").alias("a"), "part", *PARTS).alias("x"), of.select(F.col("node").alias("b"), "part", *PARTS).alias("y")
+    links = met.join(x, "a").join(y, "b").where(bits("x", "y") <= far).select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
+    wholes = connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    of = of.join(wholes, "part", "left").select("node", "first_id", F.coalesce("whole", "part").alias("whole"))
+    smallest = of.groupBy("whole").agg(F.min("first_id").alias("component_id"))
+    return each.join(of.join(smallest, "whole").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
