@@ -126,11 +126,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     and SLACK standard deviations more, so that texts at the threshold are rather linked than lost.
     Candidates agree in one of the segments of SEGMENT bits up to one bit. First each segment value's members are compared
     with its smallest member, which joins large groups by as many rows as they have members; then balls of radius 1 meet
-    the table, between different components only, with the first 64 bits checked in the join and all bits after it.
+    the table, between different components only, with the first 128 bits, which name the text, checked in the join and all bits after it.
     The second search for components runs over the first ones, joined by the new links."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = lambda bits, slack: int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
-    far, first = most(64 * WIDTH, SLACK), most(64, 2.5)
+    far, first = most(64 * WIDTH, SLACK), most(128, 2.5)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     each = save(texts.mapInArrow(_wide(words_per_shingle, seed), ", ".join(["doc_id long", *(f"{p} long" for p in PARTS)])).withColumn("node", F.xxhash64(*PARTS)), "wide-fingerprints")
     nodes = save(each.groupBy("node", *PARTS).agg(F.min("doc_id").alias("first_id")), "distinct-wide")
@@ -145,16 +145,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     parts = save(connected_components(stars), "star-parts")
     of = nodes.join(parts.select("node", "component"), "node", "left").withColumn("part", F.coalesce("component", "node"))
     of = save(of.select("node", "part", "first_id", *PARTS), "parts-of-nodes")
-    narrow = of.select("node", "part", F.col(PARTS[0]).alias("check"), keyed.alias("t")).select("node", "part", "check", "t.*")
+    narrow = of.select("w0", "w1", "part", keyed.alias("t")).select("w0", "w1", "part", "t.*")
     flips = F.expr(f"transform(filter(sequence(0, {SEGMENT - 1}), i -> (val & shiftleft(1L, i)) = 0), i -> val | shiftleft(1L, i))")
-    probes = narrow.select("node", "part", "check", "seg", "val", F.explode(F.concat(F.array("val"), flips)).alias("ball"))
+    probes = narrow.select("w0", "w1", "part", "seg", "val", F.explode(F.concat(F.array("val"), flips)).alias("ball"))
     t, p = narrow.alias("t"), probes.alias("p")
-    once = (F.col("ball") != F.col("p.val")) | (F.col("p.node") < F.col("t.node"))
-    near = F.bit_count(F.col("t.check").bitwiseXOR(F.col("p.check"))) <= first
+    here, there = F.struct("t.w0", "t.w1"), F.struct("p.w0", "p.w1")
+    once = (F.col("ball") != F.col("p.val")) | (there <= here)
+    near = F.bit_count(F.col("t.w0").bitwiseXOR(F.col("p.w0"))) + F.bit_count(F.col("t.w1").bitwiseXOR(F.col("p.w1"))) <= first
     met = t.join(p, (F.col("t.seg") == F.col("p.seg")) & (F.col("t.val") == F.col("ball")) & (F.col("t.part") != F.col("p.part")) & once & near)
-    met = met.select(F.least("t.node", "p.node").alias("a"), F.greatest("t.node", "p.node").alias("b")).distinct()
-    x, y = of.select(F.col("node").alias("a"), "part", *PARTS).alias("x"), of.select(F.col("node").alias("b"), "part", *PARTS).alias("y")
-    links = met.join(x, "a").join(y, "b").where(bits("x", "y") <= far).select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
+    met = met.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).distinct().select("a.w0", "a.w1", F.col("b.w0").alias("v0"), F.col("b.w1").alias("v1"))
+    x, y = of.select("part", *PARTS).alias("x"), of.select("part", *PARTS).alias("y")
+    first_of = met.alias("m").join(x, (F.col("m.w0") == F.col("x.w0")) & (F.col("m.w1") == F.col("x.w1")))
+    both = first_of.join(y, (F.col("m.v0") == F.col("y.w0")) & (F.col("m.v1") == F.col("y.w1")))
+    links = both.where(bits("x", "y") <= far).select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
     wholes = connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("whole"))
     of = of.join(wholes, "part", "left").select("node", "first_id", F.coalesce("whole", "part").alias("whole"))
     smallest = of.groupBy("whole").agg(F.min("first_id").alias("component_id"))
