@@ -8,8 +8,8 @@ Candidates come from an equi-join on (segment, value), the whole distance is ver
 and only links leave it: at most 2080 other fingerprints are that near, so the links of a fingerprint are bounded.
 Exact copies share a fingerprint and meet the join once.
 
-near_copies and keep_one link by a similarity of word shingles instead: wider fingerprints, more and shorter segments,
-and a larger whole distance. There the segments find most links, not all: see the README for the measured share.
+near_copies and keep_one link by the exact Jaccard similarity of distinct word shingles instead, without fingerprints:
+candidates share a band of minima of their sets, which loses a pair at the threshold with a chance of at most MISS.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; a null doc_id gets its row
 (it is never a component's smallest id, unless all are null); repeated rows stay; an empty table gives no rows;
@@ -31,9 +31,8 @@ from xxhash import xxh64_intdigest
 from tallywind.llm.common import connected_components, save
 
 STEP = 1 << 16
-#: Wide fingerprints for a similarity threshold: 64-bit words, bits of a segment, standard deviations beyond the threshold.
-WIDTH, SEGMENT, SLACK = 6, 21, 0.5
-PARTS = [f"w{i}" for i in range(WIDTH)]
+#: Links by similarity: the chance that a pair at the threshold is no candidate, bands at most, texts and bytes of a block, columns at a time.
+MISS, BANDS, BLOCK, BYTES, COLUMNS = 1e-5, 40, 1024, 1 << 25, 2048
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -85,83 +84,138 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
     return each.join(of.join(smallest, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, words_per_shingle: int = 5, seed: int = 42, width: int = WIDTH) -> list[int]:
-    """`width` 64-bit majority fingerprints over independent mixes of the shingles' hashes, as signed numbers."""
+def shingle_set(text: str | None, words_per_shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of the text's word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * width
     k = min(words_per_shingle, len(words))
+    if not k:
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
-    ones, n = np.zeros((width, 64), np.int64), len(words) - k + 1
-    for at in range(0, n, STEP):
-        h = np.fromiter(map(xxh64_intdigest, islice(shingles, STEP), repeat(seed)), "<u8", min(STEP, n - at))
-        for i in range(width):
-            bits = np.unpackbits(_remix(h, i).view(np.uint8), bitorder="little").reshape(-1, 64)
-            ones[i] += bits.sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - k + 1))
+
 
+def bands_for(similarity: float) -> tuple[int, int]:
+    """(bands, minima a band): the most minima for which MISS needs at most BANDS bands, else one minimum and more bands."""
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity {similarity} isn't over 0 and at most 1")
+    need = lambda r: 1 if similarity == 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**r)))
+    r = max((r for r in range(1, 17) if need(r) <= BANDS), default=1)
+    return need(r), r
 
-def _remix(h: np.ndarray, i: int) -> np.ndarray:
-    """The i-th of a family of one-to-one mixes of 64-bit hashes (xor-shifts and odd multipliers)."""
-    x = h ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
 
+def band_keys(hashes: np.ndarray, bands: int, minima: int) -> np.ndarray:
+    """A key for each band: equal for two sets where all minima of the band are; its chance is similarity ** minima."""
+    odd = np.random.default_rng(1).integers(0, 1 << 63, (2, bands * minima), np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * minima, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        x = hashes[at : at + 512, None] * odd[0]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, x.min(0))
+    least ^= least >> np.uint64(29)
+    return (least * odd[1]).reshape(bands, minima).sum(1, dtype=np.uint64).view(np.int64)
 
-def _wide(words_per_shingle: int, seed: int):
+
+def _banded(words_per_shingle: int, seed: int, bands: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [wide_fingerprint(t.as_py(), words_per_shingle, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in prints], pa.int64()) for i in range(WIDTH))], ["doc_id", *PARTS])
+            sizes, keys = [], []
+            for t in b.column(2):
+                hashes = shingle_set(t.as_py(), words_per_shingle, seed)
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes, bands, minima) if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "keys"])
+
+    return run
+
+
+def _sets(words_per_shingle: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                sets = pa.array([shingle_set(t.as_py(), words_per_shingle, seed).tobytes() for t in b.column(3)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], ["node", "part", "blocks", "hashes"])
+
+    return run
+
+
+def exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """links[i, j]: whether the Jaccard similarity of sets i and j is at least `similarity`."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[column] > 1  # the others are in no intersection
+    place = np.cumsum(times > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        s, e = np.searchsorted(column, [start, start + COLUMNS])
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[row[s:e], column[s:e] - start] = 1
+        both += dense @ dense.T
+    return both / (sizes[:, None] + sizes[None, :] - both) >= similarity
+
+
+def _verified(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+        raws = table.column("hashes").combine_chunks()
+        a, b = [], []
+        order = np.argsort(part, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            links = exact_links([np.frombuffer(raws[int(i)].as_buffer(), np.uint64) for i in rows], similarity)
+            left = np.ones(len(rows), bool)
+            for first in range(len(rows)):  # each component once, from its first row
+                todo = [first] if left[first] else []
+                left[first] = False
+                while todo:
+                    met = np.flatnonzero(links[todo.pop()] & left)
+                    left[met] = False
+                    todo.extend(met.tolist())
+                    a.extend([node[rows[first]]] * len(met))
+                    b.extend(node[rows[met]])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id and component_id (smallest doc_id that links reach) for links at a Jaccard similarity of word shingles.
-
-    Two sets of one size whose Jaccard similarity is J have the cosine 2J / (1 + J), and majority bits over them differ
-    with probability acos(cosine) / pi. A link is a distance over WIDTH * 64 bits of at most that share for `similarity`,
-    and SLACK standard deviations more, so that texts at the threshold are rather linked than lost.
-    Candidates agree in one of the segments of SEGMENT bits up to one bit. First each segment value's members are compared
-    with its smallest member, which joins large groups by as many rows as they have members; then balls of radius 1 meet
-    the table, between different components only, with the first 128 bits, which name the text, checked in the join and all bits after it.
-    The second search for components runs over the first ones, joined by the new links."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = lambda bits, slack: int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
-    far, first = most(64 * WIDTH, SLACK), most(128, 2.5)
+    """doc_id and component_id (smallest doc_id that links reach). Two texts link where the Jaccard similarity of their
+    sets of distinct word shingles is at least `similarity`; every link is verified exactly, on 64-bit hashes of the shingles.
+
+    Candidates come from minima of the sets in bands (MinHash): a pair at the threshold shares no band with a chance of at most MISS.
+    A band's members are tied to its smallest, and all that ties reach is a part, so that candidate pairs never become rows:
+    every pair in one part is compared in Python, on each text's set. A part over BLOCK texts or BYTES is cut
+    into blocks, and a pair of blocks is a separate piece of work: its square is arithmetic, its rows are texts times blocks.
+    Pieces give the edges of their components, at most one a text."""
+    bands, minima = bands_for(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = save(texts.mapInArrow(_wide(words_per_shingle, seed), ", ".join(["doc_id long", *(f"{p} long" for p in PARTS)])).withColumn("node", F.xxhash64(*PARTS)), "wide-fingerprints")
-    nodes = save(each.groupBy("node", *PARTS).agg(F.min("doc_id").alias("first_id")), "distinct-wide")
-    bits = lambda a, b: sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARTS), start=F.lit(0))
-    mask = (1 << SEGMENT) - 1
-    cut = [(i, F.shiftrightunsigned(p, SEGMENT * j).bitwiseAND(F.lit(mask))) for i, (p, j) in enumerate((p, j) for p in PARTS for j in range(64 // SEGMENT))]
-    keyed = F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), v.alias("val")) for i, v in cut)))
-    table = nodes.select("node", *PARTS, keyed.alias("t")).select("node", *PARTS, "t.*")
-    least = table.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", *PARTS)).alias("r")).where("n > 1").select("seg", "val", "r.*")
-    star = table.alias("a").join(least.alias("b"), ["seg", "val"]).where((F.col("a.node") != F.col("b.node")) & (bits("a", "b") <= far))
-    stars = save(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "stars")
-    parts = save(connected_components(stars), "star-parts")
-    of = nodes.join(parts.select("node", "component"), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    of = save(of.select("node", "part", "first_id", *PARTS), "parts-of-nodes")
-    narrow = of.select("w0", "w1", "part", keyed.alias("t")).select("w0", "w1", "part", "t.*")
-    flips = F.expr(f"transform(filter(sequence(0, {SEGMENT - 1}), i -> (val & shiftleft(1L, i)) = 0), i -> val | shiftleft(1L, i))")
-    probes = narrow.select("w0", "w1", "part", "seg", "val", F.explode(F.concat(F.array("val"), flips)).alias("ball"))
-    t, p = narrow.alias("t"), probes.alias("p")
-    here, there = F.struct("t.w0", "t.w1"), F.struct("p.w0", "p.w1")
-    once = (F.col("ball") != F.col("p.val")) | (there <= here)
-    near = F.bit_count(F.col("t.w0").bitwiseXOR(F.col("p.w0"))) + F.bit_count(F.col("t.w1").bitwiseXOR(F.col("p.w1"))) <= first
-    met = t.join(p, (F.col("t.seg") == F.col("p.seg")) & (F.col("t.val") == F.col("ball")) & (F.col("t.part") != F.col("p.part")) & once & near)
-    met = met.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).distinct().select("a.w0", "a.w1", F.col("b.w0").alias("v0"), F.col("b.w1").alias("v1"))
-    x, y = of.select("part", *PARTS).alias("x"), of.select("part", *PARTS).alias("y")
-    first_of = met.alias("m").join(x, (F.col("m.w0") == F.col("x.w0")) & (F.col("m.w1") == F.col("x.w1")))
-    both = first_of.join(y, (F.col("m.v0") == F.col("y.w0")) & (F.col("m.v1") == F.col("y.w1")))
-    links = both.where(bits("x", "y") <= far).select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
-    wholes = connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    of = of.join(wholes, "part", "left").select("node", "first_id", F.coalesce("whole", "part").alias("whole"))
-    smallest = of.groupBy("whole").agg(F.min("first_id").alias("component_id"))
-    return each.join(of.join(smallest, "whole").select("node", "component_id"), "node").select("doc_id", "component_id")
+    named = texts.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    each = named.mapInArrow(_banded(words_per_shingle, seed, bands, minima), "doc_id long, node long, size long, keys array<long>")
+    each = save(each.withColumn("node", F.when(F.col("size") > 0, F.col("node"))), "bands")  # wordless texts share node null
+    nodes = save(each.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("keys").alias("keys")), "banded-nodes")
+    table = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    least = table.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "least")
+    ties = table.join(least, ["band", "key"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    members = save(nodes.select("node", "size").join(connected_components(ties).withColumnRenamed("component", "part"), "node"), "parts")
+    sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("size") / BYTES)).cast("int").alias("blocks"))
+    members = save(members.join(sizes, "part").select("node", "part", "blocks", "size"), "sized-parts")
+    total = members.agg(F.sum("size")).first()[0] or 0
+    bins = max(1, 8 * total // (BYTES // 4))
+    rows = named.join(members, "node").select("node", "part", "blocks", "text").dropDuplicates(["node"])
+    sets = rows.mapInArrow(_sets(words_per_shingle, seed), "node long, part long, blocks int, hashes binary")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    work = sets.withColumn("own", own).withColumn("other", other).withColumn("bin", F.when(F.col("blocks") > 1, F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(bins))))
+    work = work.select("node", "part", "hashes", "bin", F.col("blocks") > 1, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).toDF("node", "part", "hashes", "bin", "cut", "lo", "hi")
+    links = work.groupBy("bin", "cut", "lo", "hi").applyInArrow(_verified(similarity), "a long, b long")
+    wholes = connected_components(links)
+    of = save(each.select("doc_id", "node").join(wholes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("whole")), "wholes")
+    smallest = of.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    return of.alias("o").join(smallest.alias("s"), F.col("o.whole").eqNullSafe(F.col("s.whole"))).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -252,6 +252,48 @@ def test_near_copies_against_exact_similarity(spark):
     assert kept.columns == empty.columns and kept.count() == 0
 
 
+def shingles_of(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_near_copies_finds_isolated_pairs_and_no_others(spark):
+    rng = np.random.default_rng(21)
+    rows, want = [], {}
+    while len(want) < 400:
+        first = [f"v{x}" for x in rng.integers(0, 10**9, 300)]
+        second = list(first)
+        for at in rng.choice(300, rng.integers(5, 16), replace=False):
+            second[at] = f"c{rng.integers(0, 10**9)}"
+        a, b = shingles_of(" ".join(first)), shingles_of(" ".join(second))
+        share = len(a & b) / len(a | b)
+        if 0.7 <= share < 0.8 or 0.8 <= share < 0.85:
+            want[len(rows)] = share
+            rows += [(len(rows), " ".join(first)), (len(rows) + 1, " ".join(second))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(s >= 0.8 for s in want.values()) > 80 and sum(s < 0.8 for s in want.values()) > 80
+    assert [(i, s) for i, s in want.items() if (got[i] == got[i + 1]) != (s >= 0.8)] == []
+
+
+def test_near_copies_of_a_part_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    rng = np.random.default_rng(22)
+    base, rows = [f"v{x}" for x in range(200)], []
+    for i in range(40):
+        text = list(base)
+        for at in rng.choice(200, i % 8, replace=False):
+            text[at] = f"c{i}"
+        rows.append((i, " ".join(text)))
+    sets, parent = [shingles_of(t) for _, t in rows], list(range(40))
+    for a in range(40):
+        for b in range(40):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if p == high else p for p in parent]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(40)] == parent and 1 < len(set(parent)) < 40
+
+
 def test_keep_one_keeps_the_smallest(spark):
     text = " ".join(f"t{i}" for i in range(400))
     df = spark.createDataFrame([(7, text, 1), (3, text + " end", 2), (9, "other words altogether here now", 3), (None, text, 4)], "doc_id long, text string, node int")
