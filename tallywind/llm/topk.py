@@ -84,9 +84,10 @@ class Shard:
             seen = fast[open_] @ self.high[s:e].astype(kind).T
             bound = seen + (far[open_, None] * self.rest[None, s:e]) * (1 + 1e-6) + 1e-3
             floor = kth[open_]
-            if e - s >= k:  # at least k rows of this chunk reach seen - gain
+            if e - s >= k:  # at least k candidates of this chunk reach seen - gain; rows that repeat the query's vec_id are none
                 low = seen - (far[open_, None] * self.rest[None, s:e]) * (1 + 1e-6) - 1e-3
-                floor = np.maximum(floor, np.partition(low, e - s - k - 1 if e - s > k + 1 else 0, 1)[:, max(0, e - s - k - 1)])
+                low[self.ids[None, s:e] == ids[open_, None]] = -np.inf
+                floor = np.maximum(floor, np.partition(low, e - s - k, 1)[:, e - s - k])
             i, j = np.nonzero(bound >= floor[:, None])
             score = self._exact(queries, open_[i], s + j)
             keep = (score >= kth[open_[i]]) & (self.ids[s + j] != ids[open_[i]])

@@ -466,6 +466,19 @@ def test_top_k_matches_brute_force(spark, sf):
             assert set(ranks) == set(asked) and all(sorted(x)[0][0] == 1 for x in ranks.values())
 
 
+@pytest.mark.parametrize("copies", [2, 5, 21, 40])
+def test_top_k_of_a_repeated_id(spark, copies):
+    rng = np.random.default_rng(4)
+    query = rng.normal(size=64)
+    near = [query + rng.normal(size=64) * 0.3 for _ in range(19)]
+    vectors = [(0, query)] * copies + [(i, v) for i, v in enumerate([*near, *rng.normal(size=(200, 64))], 1)]
+    whole = [(i, np.floor(64 * v).astype(np.int64)) for i, v in vectors]
+    want = sorted((-int(whole[0][1] @ v), i) for i, v in whole if i)[:20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, topk.F.col("vec_id") == 0, 20).collect()
+    assert sorted((r.rank, -r.score, r.vec_id) for r in got) == [(n, *w) for n, w in enumerate(want, 1)]
+
+
 def test_pipeline_runs_in_order(spark, sf):
     import corpus_pipeline
 
