@@ -275,6 +275,16 @@ def test_near_copies_finds_isolated_pairs_and_no_others(spark):
     assert [(i, s) for i, s in want.items() if (got[i] == got[i + 1]) != (s >= 0.8)] == []
 
 
+def test_near_copies_counts_a_repeated_line_once(spark):
+    line = " ".join(f"line{i}" for i in range(14))
+    own = lambda n: " ".join(f"own{n}x{i}" for i in range(300))
+    rows = [(0, own(0) + f" {line}" * 40), (1, own(1) + f" {line}" * 40), (2, own(2) + f" {line}" * 60), (3, f"{own(2)} {line} {line}")]
+    sets = [shingles_of(t) for _, t in rows]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.1 and len(sets[2] & sets[3]) / len(sets[2] | sets[3]) >= 0.8
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_near_copies_of_a_part_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 4)
     rng = np.random.default_rng(22)
