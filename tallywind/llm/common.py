@@ -89,6 +89,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Alternates the large-star and small-star steps (Kiveris et al. 2014). Each step is an aggregate and an
     equi-join on narrow rows, the result of each round is written to the shared folder, and only its row count
     and a hash of its rows come to the driver. A hub's minimum is pre-aggregated and its join can be split.
+    Raises if the components still change in the last round: none are returned that may be wrong.
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e, before = save(e, "edges"), None
@@ -103,4 +104,6 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still changed after {rounds} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -310,6 +310,13 @@ def test_keep_one_keeps_the_smallest(spark):
     assert sorted(r.node for r in simhash.keep_one(df).collect()) == [2, 3, 4]
 
 
+def test_components_that_still_change_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        connected_components(chain, rounds=2)
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+
+
 def test_hamming_links_are_complete(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(-(2**63), 2**63, 60)]
