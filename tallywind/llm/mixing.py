@@ -17,6 +17,7 @@ table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -84,10 +85,12 @@ def posteriors(stats: DataFrame, known: DataFrame) -> DataFrame:
     return one.select("doc_id", "tokens", *((F.col(f"e_{d}") / every).alias(f"p_{d}") for d in DOMAINS))
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = 25, close: float = 1e-6) -> Column:
+def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = 500, close: float = 1e-6) -> Column:
     """The rate of a row of rows(tokens, p_<domain>) whose expected totals are targets times the corpus's.
 
-    After each step the Gram matrix of the rows with a rate over 0 scales the next one."""
+    After each step the Gram matrix of the rows with a rate over 0 scales the next one. Steps go on until the totals are
+    `close`, or until a step by the whole Gram matrix gets no nearer: no rates reach such targets. Then, or where `steps`
+    is hit, the remaining miss is given in a warning."""
     part = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     first = rows.agg(*(F.sum(x).alias(f"t{i}") for i, x in enumerate(part)), *(F.sum(part[i] * part[j]).alias(f"g{i}{j}") for i, j in pairs)).first()
@@ -115,10 +118,16 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = 25, close
         if inverse is not whole and miss(then) > miss(now):  # the rows at 0 came back: a step by the whole Gram matrix can't fail
             inverse = whole
             continue
+        stuck = inverse is whole and miss(then) >= miss(now) * (1 - 1e-6)
         taken, now = [*taken, y], then
+        if stuck:
+            break
         for i, j in pairs:
             gram[i, j] = gram[j, i] = got[f"g{i}{j}"] or 0.0
         inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    if np.abs(now - goal).max() > close * max(1.0, total.sum()):
+        left = ", ".join(f"{d} {x:+.6g}" for d, x in zip(DOMAINS, now - goal, strict=True))
+        warnings.warn(f"the rates miss their targets after {len(taken)} steps, in tokens: {left}", RuntimeWarning, stacklevel=2)
     return rate(taken)
 
 

@@ -462,6 +462,17 @@ def test_mixing_meets_targets(spark):
     assert mixed.columns == documents(spark).columns
 
 
+def test_rates_that_miss_are_reported(spark, recwarn):
+    columns = "tokens double, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS)
+    alike = spark.createDataFrame([(100.0, 0.5, 0.25, 0.25)] * 4, columns)  # one ratio of domains: no rates reach others
+    with pytest.warns(RuntimeWarning, match="miss their targets"):
+        mixing.fit_rates(alike, dict(zip(mixing.DOMAINS, (1.0, 0.1, 2.0), strict=True)))
+    recwarn.clear()
+    apart = spark.createDataFrame([(100.0, 1.0, 0.0, 0.0), (50.0, 0.0, 1.0, 0.0), (70.0, 0.0, 0.0, 1.0)], columns)
+    mixing.fit_rates(apart, dict(zip(mixing.DOMAINS, (1.0, 0.1, 2.0), strict=True)))
+    assert not [w for w in recwarn if "miss" in str(w.message)]
+
+
 def test_top_k_matches_brute_force(spark, sf):
     rng = np.random.default_rng(8)
     odd = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)], 1.0) for i in range(50)] + [(60, None, 0.0), (61, [float("nan")], 0.0), (62, [1.0, None], 0.0), (80, [1.0] * 6, 0.0), (20, [3.0], 0.0), (None, [1.0], 0.0), (100, [1e30], 0.0), (120, [], 0.0)], "vec_id long, embedding array<double>, score double")
