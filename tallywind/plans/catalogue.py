@@ -501,12 +501,12 @@ def label_encode(spark, d):
 
 @query()
 def word2vec(spark, d):
-    return models.word_vectors(table(spark, d, "documents").select(T.words(F.col("text")).alias("words")), "words", 20, least=20).select("word")
+    return models.word_vectors(table(spark, d, "documents").select(T.words(F.col("text")).alias("words")), "words")
 
 
 @query()
 def lda(spark, d):
-    return models.topics(table(spark, d, "documents").select(T.words(F.col("text")).alias("words")), "words", 5)
+    return models.topics(table(spark, d, "documents").select(T.words(F.col("text")).alias("words")), "words", 100)
 
 
 @query()
