@@ -49,6 +49,14 @@ def _clean() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that none of `columns` has, in either case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def spread(files: DataFrame, most: int = 10_000) -> int:
     """A number of partitions for a table that names files, so that tasks hold few files each."""
     return max(1, min(files.count(), most))

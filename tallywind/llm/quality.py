@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tallywind.llm.common import free_name
+
 BYTES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32,), "line": (10,), "bar": (124,), "bang": (33, 63),
     "mark": (35, 36, 37, 38, 42, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126), "stop": (44, 46, 58, 59), "wide": range(128, 256),
@@ -115,12 +117,12 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t.as_py()).tolist() for t in b.column(1)], pa.list_(pa.float32()))], ["doc_id", "x"])
 
 
-def _score(model: Trees, columns: list[str]):
+def _score(model: Trees, columns: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text")
             x = np.array([statistics(t.as_py()) for t in texts]).reshape(len(texts), len(NAMES))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(model.score(x), pa.float64())], [*columns, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(model.score(x), pa.float64())], [*columns, name])
 
     return run
 
@@ -141,8 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees:
     return train(np.array(rows.column("x").to_pylist(), np.float32).reshape(-1, len(NAMES)), np.array(rows.column("quality").to_pylist(), np.float64))
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with quality_score; a column of that name is replaced."""
-    columns = [c for c in docs.columns if c != "quality_score"]
-    plain = docs.select(*columns)
-    return plain.mapInArrow(_score(model, columns), StructType([*plain.schema.fields, StructField("quality_score", DoubleType())]))
+def score(docs: DataFrame, model: Trees, name: str = "quality_score") -> DataFrame:
+    """docs with the score as a column `name`; a column of that name is replaced."""
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
+    plain = docs.select(*(F.col(f"`{c}`") for c in columns))
+    return plain.mapInArrow(_score(model, columns, name), StructType([*plain.schema.fields, StructField(name, DoubleType())]))
+
+
+def keep(docs: DataFrame, model: Trees, least: float = 0.7) -> DataFrame:
+    """The rows of docs that score `least` or more, with the columns of docs, whatever their names."""
+    name = free_name(docs.columns, "score")
+    return score(docs, model, name).where(F.col(name) >= least).drop(name)

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from tallywind.llm import mixing, packing, pii, quality, rans, secret_scan, simhash, topk, vector_dedup, warc
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
+def tokenizer_path(name: str) -> Callable[[], str]:
+    """A vocabulary file's place, found where it is called: each worker looks on its own machine."""
 
-    return public_tokenizers.path(name)
+    def path() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+
+    return path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

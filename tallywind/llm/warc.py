@@ -11,7 +11,9 @@ back on the payload's digest is one that Spark can split.
 
 Defined results: a null html is an empty payload; a null page_id is never the largest: such a row revisits the
 group's largest, or is a response where all are null; rows that repeat the largest page_id are all responses;
-repeated rows stay; a null url is empty; an empty table gives no rows; other columns aren't read.
+repeated rows stay; a null url is empty; an empty table gives no rows; other columns aren't read. A page of any length
+is one record, of which writer and readers hold one at a time beside an archive of ROLL bytes; archives that end
+within a record or a gzip member raise ValueError.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywind.llm.common import new_folder, read_file, save, shared_fs, spread, write_file
+from tallywind.llm.common import new_folder, read_file, read_range, save, shared_fs, spread, write_file
 
 ROLL = 32 << 20
 STEP = 1 << 20
@@ -78,18 +80,21 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def inflate(uri: str) -> Iterator[bytes]:
-    """The contents of a gzip file of one or many members, in steps of bounded size."""
+    """The contents of a gzip file of one or many members, in steps of bounded size; raises ValueError where it is cut short."""
     fs, path = shared_fs(uri)
     with fs.open_input_stream(path, compression=None) as f:
-        z = zlib.decompressobj(31)
+        z, within = zlib.decompressobj(31), False
         while data := f.read(STEP):
             while data:
+                within = True
                 yield z.decompress(data, STEP)
                 while z.unconsumed_tail:
                     yield z.decompress(z.unconsumed_tail, STEP)
                 data = z.unused_data
                 if z.eof:
-                    z = zlib.decompressobj(31)
+                    z, within = zlib.decompressobj(31), False
+    if within:
+        raise ValueError(f"{uri} ends within a gzip member")
 
 
 def normalise(uri: str, to: str, level: int = 6) -> list[dict]:
@@ -152,6 +157,18 @@ def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return h, payload
 
 
+def read_sidecar(archive: str) -> dict[str, tuple[int, int, str]]:
+    """record_id to (offset, length, record_type), from the index beside a normalised archive."""
+    rows = (x.split(" ") for x in read_file(f"{archive}.idx").decode().splitlines())
+    return {record: (int(offset), int(length), kind) for offset, length, record, kind in rows}
+
+
+def fetch(archive: str, record: str) -> tuple[dict[str, str], bytes]:
+    """(headers, payload) of one record, by its sidecar offset: reads that member's bytes alone."""
+    offset, length, _ = read_sidecar(archive)[record]
+    return read_record(read_range(archive, offset, length))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = [f.split()[0] for f in RESULT.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     last, data = None, b""
