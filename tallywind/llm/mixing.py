@@ -1,17 +1,22 @@
 """Mixing by soft domain membership, by DataFrame functions alone (operator 6).
 
-A naive Bayes classifier, trained on the labels table, gives each document a posterior over three domains: clean
-(quality 1, not toxic), low (quality 0) and toxic. Its inputs are statistics of the whole text, one of them the
-hits of a lexicon that is learnt from a bounded sample of labelled rows (`sample`). Rates r >= 0 are then fitted so
+The labels table names three domains: clean (quality 1, not toxic), low (quality 0) and toxic. Each document's words are
+hashed to BUCKETS; from a bounded sample of labelled ids (`sample`) a Bernoulli model learns how much more a bucket speaks
+for low or for toxic text than for clean text. Two means of these log odds over all words of a text, the number of words
+that speak strongly for toxic text, its size and two shares of characters are the statistics of which a Gaussian naive
+Bayes classifier, trained on all labelled rows, makes posteriors over the domains. Rates r >= 0 are then fitted so
 that the expected token totals of the domains, sum of r * tokens * posterior, match the targets: projected gradient
 on the least squares, preconditioned by the (3 x 3) Gram matrix so that a step of 1 is safe, from r = 1. A step
 aggregates three sums over a narrow table; a document's rate is a function of its row and of the steps' vectors, so
 nothing but those vectors comes to the driver and nothing is shuffled by key.
 
+Whole texts count; a text's words are an array in its row, so a very long text takes memory of its own size, and time in
+proportion to it. Tokens are runs without white space; words are runs of letters and digits.
+
 Defined results: a null text is empty and has no tokens; its rate stays 1; rows whose labels are null or not 0 or 1
 aren't learnt from; of labels that repeat an id the worst counts; without labels of a domain its posterior is 0
 (without any labels all is clean); repeated rows get equal rates and copies; a null doc_id gets its row; an empty
-table gives no rows; other columns aren't read.
+table gives no rows; other columns aren't read, and apply_mix keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywind.llm.common import save
+from tallywind.llm.common import free_name, save
 
 DOMAINS = ("clean", "low", "toxic")
-STATS = ("size", "marks", "shouts", "hits")
+STATS = ("size", "marks", "shouts", "low", "toxic", "hits")
+BUCKETS, STRONG = 1 << 16, math.log(20)
 #: Target totals, as multiples of what the corpus holds: clean text a little over once, little of the rest.
 TARGETS = {"clean": 1.05, "low": 0.5, "toxic": 0.1}
 
@@ -42,29 +48,35 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def lexicon(docs: DataFrame, known: DataFrame, sample: int, words: int) -> list[str]:
-    """The words whose presence speaks most for the toxic domain, from at most `sample` labelled ids."""
+def _buckets(text: Column) -> Column:
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
+def word_odds(docs: DataFrame, known: DataFrame, sample: int) -> tuple[list[float], list[float]]:
+    """For each bucket the log odds of its presence in a low and in a toxic text, against a clean one (0 without labels of
+    the domain, and where under 3 texts or 1 in 100 of either have it), from the texts of at most `sample` labelled ids."""
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    seen = _texts(docs).join(F.broadcast(few), "doc_id").select("domain", F.array_distinct(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
-    totals = {r.toxic: r.n for r in seen.groupBy((F.col("domain") == 2).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    yes, no = totals.get(True, 0), totals.get(False, 0)
-    by_word = seen.select("domain", F.explode("w").alias("word")).where("length(word) > 2").groupBy("word").agg(F.count_if(F.col("domain") == 2).alias("yes"), F.count_if(F.col("domain") != 2).alias("no"))
-    odds = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
-    top = by_word.where(F.col("yes") >= max(3, 0.01 * yes)).withColumn("gain", F.col("yes") * odds).where(odds > math.log(20))
-    return [r.word for r in top.orderBy(F.desc("gain"), "word").limit(words).collect()]
-
-
-def statistics(docs: DataFrame, hits: list[str]) -> DataFrame:
-    """doc_id, tokens (words between spaces) and STATS of whole texts."""
-    rows = _texts(docs)
-    tokens = F.when(F.col("text") == "", 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("double")
-    rows = rows.select("doc_id", tokens.alias("tokens"), "text")
-    per = F.greatest(F.col("tokens"), F.lit(1.0))
+    seen = _texts(docs).join(F.broadcast(few), "doc_id").select("domain", F.array_distinct(_buckets(F.col("text"))).alias("b"))  # `sample` ids at most
+    rows = seen.select("domain", F.explode(F.concat(F.array(F.lit(-1)), "b")).alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # domains x buckets at most
+    n = np.zeros((len(DOMAINS), BUCKETS + 1))
+    for r in rows:
+        n[r.domain, r.b] = r.n  # -1, the last place, counts texts
+    share = np.log((n[:, :-1] + 0.5) / (n[:, -1:] + 1))
+    seen_often = n[:, :-1] >= np.maximum(3, 0.01 * n[:, -1:])
+    return tuple(np.where(seen_often[d] | seen_often[0], share[d] - share[0], 0.0).tolist() if n[d, -1] and n[0, -1] else [0.0] * BUCKETS for d in (1, 2))
+
+
+def statistics(docs: DataFrame, odds: tuple[list[float], list[float]]) -> DataFrame:
+    """doc_id, tokens and STATS of whole texts."""
+    low, toxic = (F.split(F.lit(",".join(f"{v:.17g}" for v in x)), ",").cast("array<double>") for x in odds)  # Catalyst folds them into literals
+    rows = _texts(docs).select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("double").alias("tokens"), "text", _buckets(F.col("text")).alias("b"))
+    per, words = F.greatest(F.col("tokens"), F.lit(1.0)), F.greatest(F.size("b"), F.lit(1))
     count = lambda p: F.regexp_count("text", F.lit(p))
-    bad = F.regexp_count(F.lower("text"), F.lit(r"(?<![a-z])(?:" + "|".join(hits) + r")(?![a-z])")) if hits else F.lit(0)
+    mean = lambda odds: F.aggregate("b", F.lit(0.0), lambda a, i: a + F.get(odds, i)) / words
     return rows.select(
-        "doc_id", "tokens", F.log1p(F.octet_length("text").cast("double")).alias("size"), F.log1p(20 * count(r"[#$%&*!|]+") / per).alias("marks"),
-        F.log1p(20 * count(r"[A-ZÀ-Ý]{2,}") / per).alias("shouts"), F.log1p(bad.cast("double")).alias("hits"),
+        "doc_id", "tokens", F.log1p(F.octet_length("text").cast("double")).alias("size"), F.log1p(20 * count(r"[#$%&*!|]+") / per).alias("marks"), F.log1p(20 * count(r"[A-ZÀ-Ý]{2,}") / per).alias("shouts"),
+        mean(low).alias("low"), mean(toxic).alias("toxic"), F.log1p(F.size(F.filter("b", lambda i: F.get(toxic, i) > STRONG)).cast("double")).alias("hits"),
     )
 
 
@@ -74,8 +86,10 @@ def posteriors(stats: DataFrame, known: DataFrame) -> DataFrame:
     if not rows:
         return stats.select("doc_id", "tokens", *(F.lit(float(d == "clean")).alias(f"p_{d}") for d in DOMAINS))
     total, logs = sum(r.n for r in rows), [F.lit(None).cast("double")] * len(DOMAINS)
+    # No variance under a tenth of the labelled rows' mean one: a domain of few or equal rows isn't sure of itself.
+    least = {s: max(1e-6, 0.1 * sum(r.n * r[f"var_pop_{s}"] for r in rows) / total) for s in STATS}
     for r in rows:
-        spread = {s: max(r[f"var_pop_{s}"], 0.05) for s in STATS}
+        spread = {s: max(r[f"var_pop_{s}"], least[s]) for s in STATS}
         logs[r.domain] = F.lit(math.log(r.n / total) - 0.5 * sum(math.log(v) for v in spread.values())) - sum(((F.col(s) - r[f"avg_{s}"]) ** 2 / (2 * v) for s, v in spread.items()), start=F.lit(0.0))
     one = stats.select("doc_id", "tokens", *(x.alias(f"l_{d}") for d, x in zip(DOMAINS, logs, strict=True)))
     one = one.withColumn("top", F.greatest(*(F.col(f"l_{d}") for d in DOMAINS)))
@@ -131,10 +145,10 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = 500, clos
     return rate(taken)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 5000, words: int = 16, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 5000, seed: int = 7) -> DataFrame:
     """doc_id, tokens, p_<domain>, rate and copies (the rate, rounded up or down by a hash of the id) of every row."""
     known = save(domains(labels), "domains")
-    stats = save(statistics(docs, lexicon(docs, known, sample, words)), "mix-stats")
+    stats = save(statistics(docs, word_odds(docs, known, sample)), "mix-stats")
     rows = save(posteriors(stats, known), "mix-posteriors")
     rated = rows.withColumn("rate", fit_rates(rows, targets or TARGETS))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
@@ -143,7 +157,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with each row repeated as often as its copies say; rows that repeat an id share its number."""
-    copies = mix(docs, labels, targets).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies != 1")
-    rows = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left")
-    times = F.coalesce(F.col("_copies"), F.lit(1)).cast("int")
-    return rows.where(times > 0).select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), times)).alias("_n")).drop("_n")
+    of, many, nth = (free_name(docs.columns, x) for x in ("of", "many", "nth"))
+    copies = mix(docs.select("doc_id", "text"), labels, targets).groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").alias(many)).where(F.col(many) != 1)
+    rows = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies[of]), "left")
+    times = F.coalesce(F.col(many), F.lit(1)).cast("int")
+    return rows.where(times > 0).select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), times)).alias(nth)).drop(nth)
