@@ -49,6 +49,17 @@ def _clean() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Return to the system what this worker process has freed: it outlives its tasks, and shares an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(columns: list[str], base: str) -> str:
     """A column name that none of `columns` has, in either case."""
     taken = {c.lower() for c in columns}

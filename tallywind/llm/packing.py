@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +28,32 @@ from tallywind.llm.common import save
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, task long, nth long"
 
 
-def _cut(path: str, window: int, end_id: int, with_ids: bool):
+def _cut(path: str | Callable[[], str], window: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tallywind.llm.tokens import encoder
 
-        encode, end, task, seen = encoder(path).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                for at in range(0, n, window):
-                    piece, k = ids[4 * at : 4 * (at + window)], min(window, n - at)
-                    for column, value in zip(out, (doc_id, at, k, zlib.crc32(piece), n, piece if with_ids else None, task, seen[k]), strict=True):
-                        column.append(value)
-                    seen[k] += 1
-            kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "task", "nth"])
+        with encoder(path) as e:
+            ids_of, task, seen = e.documents, TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+            for b in batches:
+                doc_ids = b.column(0)
+                for row, ids, sizes in ids_of(b.column(1), end_id):
+                    pieces = -(-sizes // window)
+                    of = np.repeat(np.arange(len(sizes)), pieces)
+                    start = window * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                    length = np.minimum(window, sizes[of] - start)
+                    at, raw = 4 * (np.cumsum(length) - length), memoryview(ids).cast("B")
+                    cut = [raw[s : s + 4 * n] for s, n in zip(at.tolist(), length.tolist(), strict=True)]
+                    order = np.argsort(length, kind="stable")
+                    first = np.searchsorted(length[order], length)
+                    nth = np.empty(len(of), np.int64)
+                    nth[order] = np.arange(len(of))
+                    nth += seen[length] - first
+                    seen += np.bincount(length, minlength=window + 1)
+                    whole = doc_ids.take(pa.array(row + of))
+                    yield pa.RecordBatch.from_arrays(
+                        [whole, *map(pa.array, (start, length)), pa.array(list(map(zlib.crc32, cut)), pa.int64()), pa.array(sizes[of]), pa.array([x.tobytes() for x in cut] if with_ids else [None] * len(of), pa.binary()), pa.array(np.full(len(of), task, np.int64)), pa.array(nth)],
+                        ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "task", "nth"],
+                    )
 
     return run
 
@@ -130,7 +139,7 @@ def _place(runs: list[tuple[int, int, int, int, int]]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | Callable[[], str], window: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and with_ids its ids (little-endian unsigned 32-bit). Each sequence holds at most `window` ids, gapless from 0."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

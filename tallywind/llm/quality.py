@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallywind.llm.common import free_name
+from tallywind.llm.common import free_name, give_back
 
 BYTES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32,), "line": (10,), "bar": (124,), "bang": (33, 63),
@@ -123,6 +123,7 @@ def _score(model: Trees, columns: list[str], name: str):
             texts = b.column("text")
             x = np.array([statistics(t.as_py()) for t in texts]).reshape(len(texts), len(NAMES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(model.score(x), pa.float64())], [*columns, name])
+        give_back()
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywind.llm.common import new_folder
+from tallywind.llm.common import free_name, give_back, new_folder
 
 RULES = "1"
 BASE = ("assign", "access", "hex")
@@ -86,18 +86,20 @@ def _exists(spark, path: str) -> bool:
 
 
 def mask_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
-    """docs with every found span's characters replaced: the rows stay, the secrets go."""
-    spans = scan_documents(docs.select("doc_id", "text"), ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
+    """docs with every found span's characters replaced: the rows stay, the secrets go. Any other columns, whatever their
+    names, stay as they are."""
+    blob, found = free_name(docs.columns, "blob"), free_name(docs.columns, "spans")
+    spans = scan_documents(docs.select("doc_id", "text"), ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans")).toDF(blob, found)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    return joined.mapInArrow(_mask(docs.columns), docs.schema)
+    joined = docs.withColumn(blob, F.unhex(F.sha2(text, 256))).join(spans, blob, "left")
+    return joined.mapInArrow(_mask(docs.columns, found), docs.schema)
 
 
-def _mask(columns: list[str]):
+def _mask(columns: list[str], found: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column(found).to_pylist(), strict=True):
                 if spans:
                     out, at = [], 0
                     for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in spans):
@@ -107,5 +109,6 @@ def _mask(columns: list[str]):
                     text = "".join(out) + text[at:]
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in columns], columns)
+        give_back()
 
     return run

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallywind.llm.common import connected_components, save
+from tallywind.llm.common import connected_components, give_back, save
 
 STEP = 1 << 16
 #: Links by similarity: the chance that a pair at the threshold is no candidate, bands at most, texts and bytes of a block, columns at a time.
-MISS, BANDS, BLOCK, BYTES, COLUMNS = 1e-5, 40, 1024, 1 << 25, 2048
+MISS, BANDS, BLOCK, BYTES, COLUMNS = 1e-5, 40, 512, 1 << 23, 1024
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
@@ -125,6 +125,7 @@ def _banded(words_per_shingle: int, seed: int, bands: int, minima: int):
                 sizes.append(len(hashes))
                 keys.append(band_keys(hashes, bands, minima) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "keys"])
+        give_back()
 
     return run
 
@@ -136,6 +137,7 @@ def _sets(words_per_shingle: int, seed: int):
                 b = whole.slice(at, 256)
                 sets = pa.array([shingle_set(t.as_py(), words_per_shingle, seed).tobytes() for t in b.column(3)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], ["node", "part", "blocks", "hashes"])
+        give_back()
 
     return run
 
@@ -177,6 +179,7 @@ def _verified(similarity: float):
                     todo.extend(met.tolist())
                     a.extend([node[rows[first]]] * len(met))
                     b.extend(node[rows[met]])
+        give_back()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallywind.llm.common import connected_components, save
 
-TABLES, PROBES, BLOCK, SMALL = 6, 6, 4096, 32
+TABLES, PROBES, BLOCK, SMALL = 4, 4, 4096, 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
