@@ -49,9 +49,14 @@ def first_words(c: Column, n: int = 50) -> Column:
     return F.array_join(F.slice(F.split(squeeze(c), " "), 1, n), " ")
 
 
-def clean_tokens(tokens: Column, stop: list[str] = STOP_WORDS, bad: str = "[0-9_@/]|www|http") -> Column:
-    """FLT-14: 4 to 20 letters, no stop word, no bad part."""
-    return F.filter(tokens, lambda t: F.length(t).between(4, 20) & ~t.isin(stop) & ~t.rlike(bad))
+# Fixed value: a token with any of these parts goes.
+BAD_PARTS = ["!", '"', "#", "$", "%", "&", "'", "(", ")", "*", "+", ",", "-", ".", "/", ":", ";", "<", "=", ">", "?", "@", "[", "\\", "]", "^", "`", "{", "|", "}", "~", "NUMBER", "«"]
+
+
+def clean_tokens(tokens: Column, stop: list[str] = STOP_WORDS, bad: list[str] = BAD_PARTS) -> Column:
+    """FLT-14: over 3 and at most 20 characters, no stop word, none of the bad parts within."""
+    parts = "|".join(rf"\Q{x}\E" for x in bad)
+    return F.filter(tokens, lambda t: F.length(t).between(4, 20) & ~t.isin(stop) & ~t.rlike(parts))
 
 
 def no_punctuation(tokens: Column, stop: list[str] = STOP_WORDS) -> Column:

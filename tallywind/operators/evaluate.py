@@ -12,21 +12,22 @@ def f_scores(tp: Column, fp: Column, fn: Column, beta: float = 2.0) -> dict[str,
     return {"recall": F.try_divide(tp, tp + fn), "precision": F.try_divide(tp, tp + fp), "fscore": F.try_divide((1 + b) * tp, (1 + b) * tp + b * fn + fp)}
 
 
-def outcomes(spikes: DataFrame, crises: DataFrame, keys: list[str], months: int = 24) -> DataFrame:
-    """keys, country, tp, fp, fn as 0/1 rows. spikes(keys, country, period), crises(country, seq, start, peak).
+def outcomes(spikes: DataFrame, crises: DataFrame, keys: list[str], months: int = 24, grid: DataFrame | None = None) -> DataFrame:
+    """keys, country, tp, fp, fn. spikes(keys, country, period), crises(country, seq, start, peak), grid(keys): every key
+    that is judged, with spikes or without.
 
     A spike within [start - months, start] of a crisis is a TP, once for each such crisis; else one within a crisis
-    counts as neither; the rest are FP. A crisis without a TP is an FN for each key of that country's spikes."""
+    counts as neither; the rest are FP. A crisis without a TP is an FN. Spikes meet the crises once; what leaves is a
+    row per key and country, with the crises met (as many as the country has at most)."""
     c = F.broadcast(crises)  # reference dates: some hundred rows by their nature
-    near = spikes.join(c, "country")
-    tp = near.where(F.col("period").between(F.add_months("start", -months), F.col("start")))
-    mid = near.where((F.col("period") > F.col("start")) & (F.col("period") <= F.col("peak")))
     every = [*keys, "country"]
-    fp = spikes.join(tp.select(*every, "period").union(mid.select(*every, "period")).distinct(), [*every, "period"], "left_anti")
-    of = (spikes.select(*keys).distinct().crossJoin(c) if keys else crises)
-    fn = of.join(tp.select(*every, "seq").distinct(), [*every, "seq"], "left_anti")
-    row = lambda df, *v: df.select(*every, *(F.lit(x).alias(n) for n, x in zip(("tp", "fp", "fn"), v, strict=True)))
-    return row(tp, 1, 0, 0).union(row(fp, 0, 1, 0)).union(row(fn, 0, 0, 1))
+    warns = F.col("period").between(F.add_months("start", -months), F.col("start"))
+    met = spikes.join(c, "country", "left").groupBy(*every, "period").agg(F.count_if(warns).alias("tp"), F.count_if((F.col("period") > F.col("start")) & (F.col("period") <= F.col("peak"))).alias("within"), F.collect_set(F.when(warns, F.col("seq"))).alias("seqs"))
+    by = met.groupBy(*every).agg(F.sum("tp").alias("tp"), F.count_if(F.expr("tp = 0 and within = 0")).alias("fp"), F.size(F.array_distinct(F.flatten(F.collect_set("seqs")))).alias("found"))
+    of = F.broadcast(crises.groupBy("country").agg(F.count_distinct("seq").alias("crises")))
+    frame = grid.select(*keys).distinct().crossJoin(of) if keys else of  # a grid is a list of parameters
+    both = frame.join(by, every, "full")
+    return both.select(*every, *(F.coalesce(x, F.lit(0)).alias(x) for x in ("tp", "fp")), (F.coalesce("crises", F.lit(0)) - F.coalesce("found", F.lit(0))).alias("fn"))
 
 
 def score(marks: DataFrame, keys: list[str], total: str = "aggregate") -> DataFrame:

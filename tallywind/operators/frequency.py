@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def per_mille(tokens: DataFrame, keys: list[str], token: str = "token") -> DataFrame:
     """A-01, A-02: n, total and 1000 n / total by keys and token. The shuffle is of partial counts."""
     n = tokens.groupBy(*keys, token).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("total", F.sum("n").over(Window.partitionBy(*keys))).withColumn("freq", 1000 * F.col("n") / F.col("total"))
+    total = n.groupBy(*keys).agg(F.sum("n").alias("total"))  # a key's vocabulary is never gathered in one task
+    return n.join(total, keys).select(*keys, token, "n", "total", (1000 * F.col("n") / F.col("total")).alias("freq"))
 
 
 def group_index(freq: DataFrame, groups: DataFrame, periods: DataFrame, entity: str, period: str, token: str = "token") -> DataFrame:

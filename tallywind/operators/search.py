@@ -38,8 +38,14 @@ def overlap_groups(keys: list[str]) -> tuple[list[str], list[str]]:
     return [k for k in keys if k not in inner], inner
 
 
+def overlapping_counts(df: DataFrame, doc: str, text: str, keywords: list[str]) -> DataFrame:
+    """F-20: (doc, keyword, n) of whole keywords in two passes, so that one within another is counted too."""
+    passes = [F.regexp_extract_all(F.lower(text), F.lit(keyword_pattern(g, fold=False)), F.lit(0)) for g in overlap_groups(keywords) if g]
+    return df.select(doc, F.explode(F.concat(*passes)).alias("keyword")).groupBy(doc, "keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
 def boolean_search(df: DataFrame, text: str, keys: list[str], also: str = "\\+") -> DataFrame:
-    """F-20, F-21, SRC §2.11.11: a 0/1 column per key (keys with `also` need all their parts) and keep_tag."""
+    """F-21, SRC §2.11.11: a 0/1 column per key (keys with `also` need all their parts) and keep_tag."""
     low = F.lower(text)
     hit = lambda k: low.rlike(r"\b" + re.escape(k) + r"\b")
     flags = {}
@@ -53,9 +59,11 @@ def boolean_search(df: DataFrame, text: str, keys: list[str], also: str = "\\+")
 
 
 def keep_longest(df: DataFrame, key: str, text: str, then: str) -> DataFrame:
-    """W-16: of rows with one key the one with the longest text."""
-    w = Window.partitionBy(key).orderBy(F.length(text).desc_nulls_last(), then)
-    return df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """W-16: of rows with one key the one with the longest text, of these the one with the smallest `then`, which names
+    rows. Only lengths are aggregated, before the shuffle; the texts meet the chosen ids in a join."""
+    first = F.struct(F.coalesce(F.length(text), F.lit(-1)).alias("n"), (-F.col(then)).alias("i"))
+    best = df.groupBy(key).agg(F.max(first).alias("best")).select((-F.col("best.i")).alias(then))
+    return df.join(best, then, "left_semi")
 
 
 def quantile_band(df: DataFrame, column: str, low: float = 0.03, high: float = 0.95) -> DataFrame:

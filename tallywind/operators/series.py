@@ -71,22 +71,51 @@ def pre_crisis(df: DataFrame, keys: list[str], order: str, crisis: str, ahead: i
     return df.withColumn("crisis_pre", pre).withColumn("crisis_tranqull", 1 - F.col("crisis_pre") - F.col(crisis)).drop("onset", "soon")
 
 
+def hp_trend(x, smooth: float):
+    """The Hodrick-Prescott trend of a numpy series: solves (I + smooth * D'D) t = x, D second differences, as a
+    symmetric matrix of five diagonals, in time and memory proportional to the series."""
+    import numpy as np
+
+    n = len(x)
+    d, e, f = np.ones(n), np.zeros(n), np.zeros(n)  # the diagonal and the two below it
+    for k in range(n - 2):
+        for i, u in enumerate((1.0, -2.0, 1.0)):
+            d[k + i] += smooth * u * u
+        e[k] += smooth * 1.0 * -2.0
+        e[k + 1] += smooth * -2.0 * 1.0
+        f[k] += smooth
+    y = np.array(x, float)
+    for i in range(n):  # L D L', row by row
+        for back, band in ((1, e), (2, f)):
+            if i + back < n:
+                lower = band[i] / d[i]
+                d[i + back] -= lower * band[i]
+                if back == 1 and i + 2 < n:
+                    e[i + 1] -= lower * f[i]
+                y[i + back] -= lower * y[i]
+    out = np.empty(n)
+    for i in reversed(range(n)):
+        out[i] = (y[i] - (e[i] * out[i + 1] if i + 1 < n else 0) - (f[i] * out[i + 2] if i + 2 < n else 0)) / d[i]
+    return out
+
+
 def hp_mad(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.05, smooth: float = 1600.0) -> DataFrame:
-    """W-19: deviations from a Hodrick-Prescott trend, scaled by their mean absolute deviation, beyond the upper
-    bound of an exponential distribution. One series per task call; a series is bounded by its periods."""
+    """W-19: deviations from a Hodrick-Prescott trend, scaled by their mean absolute deviation, beyond the upper bound
+    of an exponential distribution whose scale is their sample deviation. Null values are left out of the series and
+    have no score. One series per task call; a series is bounded by its periods."""
     import numpy as np
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        x = pdf[value].to_numpy(float)
-        if len(x) < 3:
-            return pdf.assign(score=0.0, anomaly=0)
-        d = np.diff(np.eye(len(x)), 2, axis=0)
-        rest = x - np.linalg.solve(np.eye(len(x)) + smooth * d.T @ d, x)
-        gap = rest - np.median(x)
-        score = np.abs(gap - np.median(gap)) / (np.abs(gap - gap.mean()).mean() + 1e-12)
-        return pdf.assign(score=score, anomaly=(score > score.mean() + score.std() * np.log(2 / alpha)).astype(int))
+        known = pdf[value].notna().to_numpy()
+        x = pdf[value].to_numpy(float)[known]
+        score = np.full(len(pdf), np.nan)
+        if len(x) >= 3:
+            gap = x - hp_trend(x, smooth)
+            score[known] = np.abs(gap - np.median(gap)) / (np.abs(gap - gap.mean()).mean() + 1e-12)
+        over = score > np.nanmean(score) + np.nanstd(score, ddof=1) * np.log(2 / alpha) if len(x) >= 3 else np.zeros(len(pdf), bool)
+        return pdf.assign(score=pd.Series(score, pdf.index).astype(object).where(~np.isnan(score), None), anomaly=over.astype(int))
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.groupBy(*keys).applyInPandas(one, f"{fields}, score double, anomaly int")

@@ -111,7 +111,7 @@ def quarterly_spikes_w8(spark, d):
 
 def scores_sql(spikes: str, key: str = "") -> str:
     k, on = (f"{key}, ", f"AND x.{key} = y.{key}") if key else ("", "")
-    every = f"(SELECT * FROM (SELECT DISTINCT {key} FROM {spikes}) CROSS JOIN c)" if key else "c"
+    every = "(SELECT * FROM t CROSS JOIN c)" if key else "c"
     sets = f"GROUPING SETS (({k}country), ({key}))" if key else "GROUPING SETS ((country), ())"
     return f"""tp AS (SELECT s.*, seq FROM {spikes} s JOIN c USING (country) WHERE period BETWEEN start - INTERVAL 24 MONTH AND start),
  mid AS (SELECT DISTINCT s.* FROM {spikes} s JOIN c USING (country) WHERE period > start AND period <= peak),
@@ -133,7 +133,7 @@ def early_warning_scores(spark, d):
 def threshold_sweep(spark, d):
     grid = spark.range(30).select(F.round(1 + F.col("id") / 10, 1).alias("thresh"))
     hits = series.spikes(with_z(spark, d).crossJoin(F.broadcast(grid)), F.col("thresh")).where("pred = 1").select("thresh", "country", "period")
-    return evaluate.score(evaluate.outcomes(hits, crises(spark, d), ["thresh"]), ["thresh"])
+    return evaluate.score(evaluate.outcomes(hits, crises(spark, d), ["thresh"], grid=grid), ["thresh"])
 
 
 @query(f"WITH {C} SELECT DISTINCT country, CAST(u AS DATE) AS period FROM (SELECT country, unnest(generate_series(start, peak, INTERVAL 1 MONTH)) AS u FROM c)")
@@ -202,10 +202,11 @@ def wide_to_long(spark, d):
     return publish.to_long(monthly(spark, d).withColumn("n", F.col("n").cast("double")), ["country", "period"], ["n", "total"], "indexes", "index")
 
 
-@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, " + ", ".join(f"round(avg(CASE WHEN o_orderstatus = '{s}' THEN o_totalprice END), 4) AS {s}" for s in "FOP") + " FROM orders GROUP BY 1")
+# Means to 6 decimals, halves up, from whole cents: equal on both sides where a mean lies between two numbers.
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, " + ", ".join(f"(2 * 10000 * sum(CAST(round(100 * o_totalprice) AS HUGEINT)) FILTER (o_orderstatus = '{s}') + count(*) FILTER (o_orderstatus = '{s}')) // (2 * nullif(count(*) FILTER (o_orderstatus = '{s}'), 0)) / 1000000.0 AS {s}" for s in "FOP") + " FROM orders GROUP BY 1")
 def long_to_wide(spark, d):
-    o = table(spark, d, "orders").select(F.trunc("o_orderdate", "month").alias("period"), "o_orderstatus", "o_totalprice")
-    return publish.to_wide(o, ["period"], "o_orderstatus", "o_totalprice", list("FOP")).select("period", *(F.round(s, 4).alias(s) for s in "FOP"))
+    o = table(spark, d, "orders").select(F.trunc("o_orderdate", "month").alias("period"), "o_orderstatus", F.col("o_totalprice").cast("decimal(14,2)").alias("o_totalprice"))
+    return publish.to_wide(o, ["period"], "o_orderstatus", "o_totalprice", list("FOP")).select("period", *(F.col(s).cast("double").alias(s) for s in "FOP"))
 
 
 @query()
@@ -277,7 +278,10 @@ STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 SPACED = "list_filter(string_split(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
-@query(f"SELECT doc_id, md5(array_to_string(list_filter({SPACED}, lambda t: length(t) BETWEEN 4 AND 20 AND t NOT IN {STOP} AND NOT regexp_matches(t, '[0-9_@/]|www|http')), ' ')) AS tokens_md5 FROM documents")
+BAD = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in T.BAD_PARTS) + "]"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_filter({SPACED}, lambda t: length(t) > 3 AND length(t) <= 20 AND t NOT IN {STOP} AND len(list_filter({BAD}, lambda b: contains(t, b))) = 0), ' ')) AS tokens_md5 FROM documents")
 def token_clean_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(T.clean_tokens(T.spaced(F.col("text"))), " ").cast("binary")).alias("tokens_md5"))
 

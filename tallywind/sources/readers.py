@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 ARTICLE = "an string, title string, snippet string, body string, publication_date string, language_code string, region_codes string, source_name string, weburl string"
 
 
-def articles(spark: SparkSession, path: str, glob: str = "*.[jJ][sS][oO][nN]", schema: str = ARTICLE) -> tuple[DataFrame, DataFrame]:
-    """SRC-01..SRC-05, SRC-16, SNK-15: (articles, dead letters) of a tree of JSON files, one object each."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    raw = raw.withColumn("path", F.col("_metadata.file_path"))
-    return raw.where("_bad is null").drop("_bad"), raw.where("_bad is not null").select(F.lit("corrupt").alias("error_type"), "path")
+def articles(spark: SparkSession, path: str, glob: str = "*.[jJ][sS][oO][nN]", schema: str = ARTICLE, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SRC-01..SRC-05, SRC-16, SNK-15: (articles, dead letters) of a tree of JSON files: one object in each, or with
+    `lines` one in each line. glob filters base names, by prefix or suffix. Articles have their file's path and name;
+    what can't be parsed, or is blank, is a dead letter with its text. Files without a byte are skipped, by Spark."""
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=not lines)
+    one = read.where("trim(value) != ''") if lines else read
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = one.select(parsed.alias("a"), "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
+    bad = F.col("a").isNull() | F.col("a._bad").isNotNull() | (F.trim("value") == "")
+    return rows.where(~bad).select("a.*", "path", "name").drop("_bad"), rows.where(bad).select(F.lit("corrupt").alias("error_type"), "path", F.col("value").alias("text"))
 
 
 def twice_encoded(df: DataFrame, column: str, schema: str) -> DataFrame:
@@ -53,10 +58,12 @@ def keyword_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def country_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-15: (country, alias) of a country XML: names, nationality and capital in lower case, `_` a space."""
-    rows = spark.read.option("rowTag", "country").schema("name string, nationality string, capital string, city array<string>").xml(path)
-    every = F.concat(F.array("name", "nationality", "capital"), F.coalesce("city", F.array().cast("array<string>")))
-    return rows.select(F.col("name").alias("country"), F.explode(F.transform(every, lambda a: F.trim(F.lower(F.translate(a, "_", " "))))).alias("alias")).where("alias != ''").distinct()
+    """SRC-15: (country, alias) of a country XML: name, nationality, capital and cities, a field's lines apart, in lower
+    case, `_` a space. The country is its name's lines joined."""
+    rows = spark.read.option("rowTag", "Country").schema("countryname string, nationality string, capital string, majorcities string").xml(path)
+    lines = lambda c: F.filter(F.transform(F.split(F.trim(F.lower(F.coalesce(F.col(c), F.lit("")))), "\n"), lambda a: F.trim(F.translate(a, "_", " "))), lambda a: a != "")
+    every = F.concat(*map(lines, ("countryname", "nationality", "capital", "majorcities")))
+    return rows.select(F.array_join(lines("countryname"), "").alias("country"), F.explode(every).alias("alias")).distinct()
 
 
 def crisis_dates(df: DataFrame) -> DataFrame:
