@@ -1 +1,3 @@
-"""Queries over the driver tables and their SQL."""
+"""Registered queries with their SQL."""
+
+from tallywind.plans import catalogue, more  # noqa: F401  both register their queries

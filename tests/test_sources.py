@@ -118,3 +118,36 @@ def test_dates(spark):
     assert [str(x) for x in one(spark, dates.month_starts(F.lit("2020-01-15").cast("date"), F.lit("2020-03-01").cast("date")))] == ["2020-01-01", "2020-02-01", "2020-03-01"]
     rows = spark.createDataFrame([("x", "1998-06&2001", "1999-02&2002")], "country string, start string, end string")
     assert [(r.seq, str(r.start), str(r.peak)) for r in readers.crisis_dates(rows).collect()] == [(0, "1998-06-01", "1999-02-01"), (1, "2001-01-01", "2002-12-01")]
+
+
+def test_dead_letters_of_raw_articles(spark):
+    from tallywind.operators import corpus
+
+    rows = [("http://x/thing/ABC-1", "T", "2020-01-02T03:04", "<p>one two</p>", None), ("http://x/thing/abc-1", "T2", "2020-01-03T00:00", "<p>later</p>", "u"), ("x/2", None, "2020-01-01T", "<p>b</p>", "u"), ("x/3", "T", "2020-01-01T", None, "u"), ("x/4", "T", "2020-01-01T", "<p></p>", "u")]
+    good, dead = corpus.canonical(spark.createDataFrame(rows, "id string, title string, publishedDate string, bodyXML string, webUrl string"), "feed", "ft-")
+    assert [(r.an, r.title, r.publication_date, r.body, r.snippet, r.weburl) for r in good.collect()] == [("ft-abc-1", "T2", "2020-01-03", "later", "later", "u")]
+    assert sorted(map(tuple, dead.collect())) == [("ft-2", "no title"), ("ft-3", "no body"), ("ft-4", "empty body")]
+
+
+def test_outcomes_by_hand(spark):
+    from tallywind.operators import evaluate
+
+    F = text.F
+    spikes = spark.createDataFrame([(1.0, "a", "1998-01-01"), (1.0, "a", "1998-08-01"), (1.0, "a", "2005-01-01"), (1.0, "b", "1990-01-01"), (2.0, "a", "1997-06-01")], "k double, country string, p string").select("k", "country", F.to_date("p").alias("period"))
+    crises = spark.createDataFrame([("a", 1, "1998-06-01", "1999-02-01"), ("a", 2, "1999-10-01", "2000-03-01"), ("c", 1, "1998-06-01", "1999-02-01")], "country string, seq int, s string, e string").select("country", "seq", F.to_date("s").alias("start"), F.to_date("e").alias("peak"))
+    grid = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "k double")
+    got = {(r.k, r.country): (r.tp, r.fp, r.fn) for r in evaluate.outcomes(spikes, crises, ["k"], grid=grid).collect()}
+    assert got == {(1.0, "a"): (3, 1, 0), (1.0, "b"): (0, 1, 0), (1.0, "c"): (0, 0, 1), (2.0, "a"): (1, 0, 1), (2.0, "c"): (0, 0, 1), (3.0, "a"): (0, 0, 2), (3.0, "c"): (0, 0, 1)}
+
+
+def test_small_rules(spark):
+    from tallywind.operators import corpus
+
+    F = text.F
+    assert one(spark, corpus.sliding(F.array(*map(F.lit, "abcde")), 3)) == [["a", "b", "c"], ["c", "d", "e"]] and one(spark, corpus.sliding(F.array(F.lit("a")), 3)) == []
+    profiles = {"en": ["the", "and"], "fr": ["les", "une"]}
+    assert [one(spark, corpus.language(F.lit(x), profiles)) for x in ("the les the thing", "une et les the", "short the", "nothing that is known")] == ["en", "fr", "NA", "NA"]
+    with pytest.raises(Exception, match="no label for"):
+        one(spark, corpus.index_name(F.lit("z"), {"a": "A"}))
+    terms, vocabulary = spark.createDataFrame([("climate change",), ("the new tax",), ("zzz",)], "term string"), spark.createDataFrame([(x,) for x in ("climate_change", "climate", "the", "new", "tax")], "token string")
+    assert {tuple(r) for r in corpus.search_terms(terms, vocabulary, ["the"]).collect()} == {("climate change", "climate_change"), ("the new tax", "new&tax")}
