@@ -106,7 +106,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node that links reach.
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014). Each step is an aggregate and an
-    equi-join on narrow rows, the result of each round is written to the shared folder, and only its row count
+    equi-join on narrow rows, their results are written to the shared folder, and only its row count
     and a hash of its rows come to the driver. A hub's minimum is pre-aggregated and its join can be split.
     Raises if the components still change in the last round: none are returned that may be wrong.
     """
@@ -114,7 +114,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     e, before = save(e, "edges"), None
     for _ in range(rounds):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written: a join with a hub's rows can then be split, which it couldn't within the stage of the aggregate.
+        least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("x"), "m"), F.struct(F.col("lo").alias("x"), "m"))).alias("s"))

@@ -80,7 +80,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
     distinct = save(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     parts = connected_components(hamming_links(distinct.select("fp")))
     of = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
-    smallest = of.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    of = save(of, "fingerprint-parts")
+    smallest = save(of.groupBy("part").agg(F.min("first_id").alias("component_id")), "smallest")  # so that the join of a large part can be split
     return each.join(of.join(smallest, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -217,7 +218,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     links = work.groupBy("bin", "cut", "lo", "hi").applyInArrow(_verified(similarity), "a long, b long")
     wholes = connected_components(links)
     of = save(each.select("doc_id", "node").join(wholes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("whole")), "wholes")
-    smallest = of.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    smallest = save(of.groupBy("whole").agg(F.min("doc_id").alias("component_id")), "smallest")
     return of.alias("o").join(smallest.alias("s"), F.col("o.whole").eqNullSafe(F.col("s.whole"))).select("doc_id", "component_id")
 
 

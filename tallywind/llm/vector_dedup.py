@@ -225,7 +225,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     of = nodes.select("node", "first_id", "many").join(parts, "node", "left").join(links, "node", "left").select("node", "first_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("part"))
-    smallest = of.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    of = save(of, "vector-parts")
+    smallest = save(of.groupBy("part").agg(F.min("first_id").alias("component_id")), "smallest")  # so that the join of a large part can be split
     told = of.join(smallest, "part").select(F.col("node").alias("of_node"), "n_links", "component_id")
     rows = marked.select("vec_id", "node").join(told, F.col("node") == F.col("of_node"), "left")
     component = F.when(F.col("of_node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
