@@ -19,10 +19,9 @@ def outcomes(spikes: DataFrame, crises: DataFrame, keys: list[str], months: int
     A spike within [start - months, start] of a crisis is a TP, once for each such crisis; else one within a crisis
     counts as neither; the rest are FP. A crisis without a TP is an FN. Spikes meet the crises once; what leaves is a
     row per key and country, with the crises met (as many as the country has at most)."""
-    c = F.broadcast(crises)  # reference dates: some hundred rows by their nature
     every = [*keys, "country"]
     warns = F.col("period").between(F.add_months("start", -months), F.col("start"))
-    met = spikes.join(c, "country", "left").groupBy(*every, "period").agg(F.count_if(warns).alias("tp"), F.count_if((F.col("period") > F.col("start")) & (F.col("period") <= F.col("peak"))).alias("within"), F.collect_set(F.when(warns, F.col("seq"))).alias("seqs"))
+    met = spikes.join(crises, "country", "left").groupBy(*every, "period").agg(F.count_if(warns).alias("tp"), F.count_if((F.col("period") > F.col("start")) & (F.col("period") <= F.col("peak"))).alias("within"), F.collect_set(F.when(warns, F.col("seq"))).alias("seqs"))
     by = met.groupBy(*every).agg(F.sum("tp").alias("tp"), F.count_if(F.expr("tp = 0 and within = 0")).alias("fp"), F.size(F.array_distinct(F.flatten(F.collect_set("seqs")))).alias("found"))
     of = F.broadcast(crises.groupBy("country").agg(F.count_distinct("seq").alias("crises")))
     frame = grid.select(*keys).distinct().crossJoin(of) if keys else of  # a grid is a list of parameters

@@ -18,20 +18,23 @@ def group_index(freq: DataFrame, groups: DataFrame, periods: DataFrame, entity:
 
     freq(entity, period, token, freq), groups(grp, word, weight), periods(period): every period of the corpus. A period
     without tokens is null, an absent word counts 0, a group that an entity never uses is null throughout."""
-    words = F.broadcast(groups)  # keyword lists: written by hand
-    hit = freq.join(words, freq[token] == words.word).groupBy(entity, period, "grp").agg(F.sum(F.col("freq") * F.col("weight")).alias("hit"))
-    has = freq.select(entity, period).distinct().withColumn("has", F.lit(1))
-    uses = hit.select(entity, "grp").distinct().withColumn("uses", F.lit(1))
-    frame = freq.select(entity).distinct().crossJoin(F.broadcast(periods)).crossJoin(F.broadcast(groups.select("grp").distinct()))
-    out = frame.join(has, [entity, period], "left").join(uses, [entity, "grp"], "left").join(hit, [entity, period, "grp"], "left")
-    return out.select(entity, "grp", period, F.when((F.col("has") == 1) & (F.col("uses") == 1), F.coalesce("hit", F.lit(0.0))).alias("value"))
+    hit = freq.join(groups, freq[token] == groups.word, "left").groupBy(entity, period, "grp").agg(F.sum(F.col("freq") * F.col("weight")).alias("hit"))
+    known = F.when(F.col("grp").isNotNull(), F.struct("grp", "hit"))
+    by_period = hit.groupBy(entity, period).agg(F.map_from_entries(F.collect_list(known)).alias("hits"))
+    # an entity's row holds its periods and the few groups of each; periods and group names are short lists
+    held = by_period.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(period, "hits"))).alias("by"), F.array_distinct(F.flatten(F.collect_list(F.map_keys("hits")))).alias("used"))
+    frame = held.crossJoin(F.broadcast(periods)).crossJoin(F.broadcast(groups.select("grp").distinct()))
+    value = F.when(F.map_contains_key("by", F.col(period)) & F.array_contains("used", F.col("grp")), F.coalesce(F.try_element_at(F.try_element_at("by", F.col(period)), F.col("grp")), F.lit(0.0)))
+    return frame.select(entity, "grp", period, value.alias("value"))
 
 
 def tfidf(terms: DataFrame, doc: str, term: str) -> DataFrame:
-    """A-26, A-27: tf * log2(N / df), each document's vector of length 1. terms: a row per occurrence."""
-    tf = terms.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
-    n = tf.select(F.count_distinct(doc).alias("docs"))  # one row
+    """A-26, A-27: tf * log2(N / df), each document's vector of length 1. terms: a row per occurrence; null terms are none.
+
+    Both counts read tf's column, so that the three plans share one shuffle of tf and texts are cut into words once."""
+    tf = terms.where(F.col(term).isNotNull()).groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy(term).agg(F.count_if(F.col("tf") > 0).alias("df"))
+    n = tf.select(F.count_distinct(F.when(F.col("tf") > 0, F.col(doc))).alias("docs"))  # one row
     w = tf.join(df, term).crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * F.log2(F.col("docs") / F.col("df")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return w.withColumn("norm", norm).select(doc, term, "tf", "df", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("tfidf"))
@@ -39,8 +42,9 @@ def tfidf(terms: DataFrame, doc: str, term: str) -> DataFrame:
 
 def doc_frequency(terms: DataFrame, doc: str, term: str, least: int, most: float, keep: int) -> DataFrame:
     """A-25, S-06: words in at least `least` and at most a share `most` of the documents, the `keep` most frequent."""
-    df = terms.select(doc, term).distinct().groupBy(term).agg(F.count(F.lit(1)).alias("df"))
-    n = terms.select(F.count_distinct(doc).alias("docs"))
+    tf = terms.where(F.col(term).isNotNull()).groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy(term).agg(F.count_if(F.col("tf") > 0).alias("df"))
+    n = tf.select(F.count_distinct(F.when(F.col("tf") > 0, F.col(doc))).alias("docs"))
     return df.crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most * F.col("docs"))).orderBy(F.desc("df"), term).limit(keep).select(term, "df")
 
 
@@ -63,8 +67,7 @@ def join_phrases(words: F.Column, phrases: list[str]) -> F.Column:
 
 def umass(terms: DataFrame, topics: DataFrame, doc: str, term: str) -> DataFrame:
     """A-32: sum over pairs of a topic's words of ln((D(wi, wj) + 1) / D(wj)), wj the higher-ranked. topics(topic, rank, word)."""
-    t = F.broadcast(topics)
-    held = terms.select(doc, F.col(term).alias("word")).distinct().join(t, "word")
+    held = terms.select(doc, F.col(term).alias("word")).distinct().join(topics, "word")
     single = held.groupBy("topic", "rank").agg(F.count(F.lit(1)).alias("d"))
     a, b = held.alias("a"), held.alias("b")
     both = a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.topic") == F.col("b.topic")) & (F.col("a.rank") > F.col("b.rank"))).groupBy(F.col("a.topic").alias("topic"), F.col("a.rank").alias("ri"), F.col("b.rank").alias("rj")).agg(F.count(F.lit(1)).alias("dij"))

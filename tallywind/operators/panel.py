@@ -39,8 +39,8 @@ def expand_groups(vectors: DataFrame, terms: DataFrame, word: str, vector: str,
 
     terms(grp, word) are keyword lists, written by hand, so their group vectors are broadcast."""
     units = vectors.select(F.col(word).alias("word"), unit(F.col(vector)).alias("u"))
-    own = units.join(F.broadcast(terms), "word").select("grp", F.posexplode("u").alias("pos", "x")).groupBy("grp", "pos").agg(F.avg("x").alias("x"))
+    own = units.join(terms, "word").select("grp", F.posexplode("u").alias("pos", "x")).groupBy("grp", "pos").agg(F.avg("x").alias("x"))
     query = own.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias("q")).withColumn("q", unit(F.col("q")))
-    near = units.crossJoin(F.broadcast(query)).join(F.broadcast(terms), ["grp", "word"], "left_anti").withColumn("cosine", dot(F.col("u"), F.col("q")))
+    near = units.crossJoin(F.broadcast(query)).join(terms, ["grp", "word"], "left_anti").withColumn("cosine", dot(F.col("u"), F.col("q")))
     w = Window.partitionBy("grp").orderBy(F.desc(F.round("cosine", 9)), "word")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("grp", "word", "rank", "cosine")

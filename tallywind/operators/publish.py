@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def upsert_periods(old: DataFrame, new: DataFrame, period: str) -> DataFrame:
     """J-16, ST-06: old without the periods that new has, and new; missing columns are null (U-01)."""
-    return old.join(F.broadcast(new.select(period).distinct()), period, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(new.select(period).distinct(), period, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def truncate_append(old: DataFrame, new: DataFrame, keys: list[str], period: str) -> DataFrame:
@@ -32,7 +32,7 @@ def global_index(df: DataFrame, weights: DataFrame, world: str = "World") -> Dat
 
     df(country, grp, period, value), weights(country, weight). The base is sought within the series (defect Q-07)."""
     w = Window.partitionBy("grp", "country").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    based = df.withColumn("base", F.first(F.nullif("value", F.lit(0.0)), True).over(w)).join(F.broadcast(weights), "country")
+    based = df.withColumn("base", F.first(F.nullif("value", F.lit(0.0)), True).over(w)).join(weights, "country")
     return based.groupBy("grp", "period").agg(F.sum(F.col("weight") * 100 * F.col("value") / F.col("base")).alias("value")).withColumn("country", F.lit(world))
 
 

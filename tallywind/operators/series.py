@@ -34,9 +34,13 @@ def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, window:
 
 
 def ewma(df: DataFrame, keys: list[str], order: str, value: str, span: int) -> DataFrame:
-    """W-06: adjusted exponential mean with alpha = 2 / (span + 1), over the rows so far."""
+    """W-06: adjusted exponential mean with alpha = 2 / (span + 1), over the rows so far. Rows whose weight is below
+    2**-64, less than a double can show beside the newest row's, are left out, so that a row costs the same anywhere."""
+    import math
+
     keep = 1 - 2 / (span + 1)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    back = math.ceil(-64 * math.log(2) / math.log(keep)) if keep > 0 else 0
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-back, 0)
     step = lambda a, x: F.struct((a.n * keep + x).alias("n"), (a.d * keep + 1).alias("d"))
     return df.withColumn("ewma", F.aggregate(F.collect_list(value).over(w), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")), step, lambda a: a.n / a.d))
 
