@@ -1,3 +1,3 @@
 """Registered queries with their SQL."""
 
-from tallywind.plans import catalogue, more  # noqa: F401  both register their queries
+from tallywind.plans import catalogue, extra, more  # noqa: F401  all register their queries
