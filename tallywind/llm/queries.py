@@ -1,4 +1,4 @@
-"""The ten contract queries: each gets its rows from its operator and derives the digest columns from them."""
+"""The contract queries: each gets its rows from its operator and derives the digest columns from them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.llm import mixing, packing, pii, quality, rans, secret_scan, simhash, topk, vector_dedup, warc
+from tallywind.llm import hard_negatives, lexical, mixing, multi_index, packing, pii, quality, rans, secret_scan, simhash, topk, vector_dedup, warc
 
 
 def tokenizer_path(name: str) -> Callable[[], str]:
@@ -71,11 +71,49 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, lexical.build(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_secrets, op4_vector_dedup, op5_packing, op6_mixing, op7_simhash, op8_token_files, op9_quality, op10_topk)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_secrets, op4_vector_dedup, op5_packing, op6_mixing, op7_simhash, op8_token_files, op9_quality, op10_topk, op11_multi_index, op12_hard_negatives, op13_lexical)}
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')"
 
 
 ORACLE_SQL = {
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             a AS (SELECT DISTINCT vec_id, label, q FROM v WHERE vec_id % 100 = 0),
+             s AS (SELECT a.vec_id AS anchor_id, a.label AS own, a.q AS q, b.vec_id AS vec_id, b.label AS label, CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+                   FROM a JOIN v b ON a.vec_id IS DISTINCT FROM b.vec_id),
+             p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, own, q ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s WHERE label = own QUALIFY place <= 5),
+             n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                          CAST(row_number() OVER (PARTITION BY p.anchor_id, p.own, p.q, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INTEGER) AS rank
+                   FROM p JOIN s ON p.anchor_id = s.anchor_id AND p.own = s.own AND p.q = s.q AND s.label <> s.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op13_lexical": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, len({_terms("text")}) AS n, {_terms("text")} AS terms FROM documents WHERE text IS NOT NULL),
+             g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d WHERE n > 0),
+             i AS (SELECT DISTINCT item_id, text, unnest(list_distinct({_terms("text")})) AS term FROM benchmark),
+             f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+             w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, docs),
+             s AS (SELECT item_id, text, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+                   FROM i JOIN f USING (term) JOIN w USING (term), g GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
                    FROM embeddings WHERE embedding IS NOT NULL
