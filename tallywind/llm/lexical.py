@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywind.llm.common import give_back, new_folder
+from tallywind.llm.common import give_back, new_folder, save
 
 #: A term, as a fixed value; only A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Impacts are at most 1000000; a byte counts UNITs. Bytes of text and documents of a shard; queries of a block.
-UNIT, SHARD, DOCUMENTS, QUERIES = -(-1_000_000 // 255), 1 << 24, 1 << 16, 1024
+#: Impacts are at most 1000000; a byte counts UNITs. Bytes of text and documents of a shard; queries of a block; bytes of
+#: query terms up to which they are broadcast.
+UNIT, SHARD, DOCUMENTS, QUERIES, BROADCAST = -(-1_000_000 // 255), 1 << 24, 1 << 16, 1024, 1 << 25
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -185,12 +186,14 @@ def search(spark, index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     asked = asked.withColumn("key", F.xxhash64("item_id", "text"))
     blocks = max(1, -(-asked.count() // QUERIES))
     words = asked.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term"))
-    words = words.groupBy("term", F.pmod("key", F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("key").alias("keys"))  # a block's at most
-    rows = held.where("term != ''").join(words.select("term").distinct(), "term", "left_semi")
+    words = save(words.groupBy("term", F.pmod("key", F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("key").alias("keys")), "query-terms")  # a block's at most
+    size = words.agg(F.coalesce(F.sum(F.octet_length("term") + 8 * F.size("keys") + 64), F.lit(0))).first()[0]
+    near = F.broadcast if size <= BROADCAST else (lambda df: df)  # else the postings shuffle by term
+    rows = held.where("term != ''").join(near(words.select("term").distinct()), "term", "left_semi")
     df = rows.groupBy("term").agg(F.sum("df").alias("total"))
     weight = F.floor(1000 * F.log((2.0 * index.n_docs + 2) / (2 * F.col("total") + 1))).cast("long")
     weighed = words.join(df, "term").withColumn("w", weight).where("w > 0").select("term", "block", "keys", "w")
-    post = held.where("term != ''").join(weighed, "term")
+    post = held.where("term != ''").join(near(weighed), "term")
     heads = held.where("term = ''").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("keys", F.array().cast("array<long>")).withColumn("w", F.lit(0).cast("long"))
     work = post.unionByName(heads).select("shard", "block", "term", "w", "keys", "df", "docs", "bounds", "impacts")
     found = work.groupBy("shard", "block").applyInArrow(_search(k), "key long, doc_id long, score long")

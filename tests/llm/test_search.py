@@ -210,6 +210,7 @@ def test_lexical_matches_brute_force(spark, documents, bytes_, block, monkeypatc
     monkeypatch.setattr(lexical, "DOCUMENTS", documents)
     monkeypatch.setattr(lexical, "SHARD", bytes_)
     monkeypatch.setattr(lexical, "QUERIES", block)
+    monkeypatch.setattr(lexical, "BROADCAST", (1 << 25) * (block > 1))
     docs, items = lexical_tables(spark, TEXTS, ITEMS)
     for k in (2, 10):
         got = lexical.search(spark, lexical.build(docs.coalesce(1)), items, k)
