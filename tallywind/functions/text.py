@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 NUMBERS = r"([',./]?[0-9]+[',./]?)+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD = r"[a-zà-öø-ÿ]+"
+#: White space as Unicode has it, in the syntax that Java's and RE2's patterns share.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 STOP_WORDS = ["the", "and", "of", "to", "in", "a", "is", "that", "for", "it", "on", "with", "as", "was", "are", "be", "by", "this", "from", "at", "or", "an"]
 
 
 def squeeze(c: Column) -> Column:
-    """F-01: runs of white space become one space."""
-    return F.regexp_replace(c, r"[ \t\n\r\f]+", " ")
+    """F-01: runs of white space, Unicode's too, become one space."""
+    return F.regexp_replace(c, SPACE, " ")
 
 
 def no_apostrophes(c: Column) -> Column:
@@ -90,12 +92,46 @@ def dehyphenate(c: Column) -> Column:
     return F.replace(c, F.lit("- \n"), F.lit(""))
 
 
+#: What isn't text: comments, scripts and styles (to the end, where nothing closes them), tags (a quoted > doesn't end one, unless
+#: the quote stays open), declarations, instructions. A < that begins none of these is text.
+MARKUP = r"""(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|</?[a-z](?:[^"'>]+|"[^"]*"|'[^']*')*>|</?[a-z][^>]*>|<![^>]*>|<\?[^>]*>"""
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+
+
+def entities(c: Column) -> Column:
+    """F-11: every named and numbered character reference becomes its character, those that stand without a semicolon
+    too, as browsers do; others stay. The names are the published HTML 5 table, from Python's library."""
+    import json
+    from html.entities import html5
+
+    def table(names: dict[str, str]) -> Column:
+        return F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # one literal
+
+    basic = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\xa0"}
+    named = table(basic | html5)  # the usual ones first: a lookup goes through the names in order
+    bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    western = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}  # numbers that pages mean as Windows characters
+
+    def numbered(e: Column) -> Column:
+        digits = F.regexp_extract(e, "([0-9a-fA-F]+);?$", 1)
+        n = F.when(e.rlike("^&#[xX]"), F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 6, F.conv(digits, 16, 10).try_cast("long"))).otherwise(digits.try_cast("long"))
+        bad = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        none = n.between(1, 8) | n.isin(0xB) | n.between(0xE, 0x1F) | n.between(0x7F, 0x7F) | n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(65536)) >= 65534)
+        character = F.decode(F.unhex(F.lpad(F.hex(n), F.lit(8), F.lit("0"))), "UTF-32")
+        return F.when(bad, "\ufffd").when(n.between(0x80, 0x9F), F.try_element_at(table({str(i): x for i, x in western.items()}), n.cast("string"))).when(none, "").otherwise(character)
+
+    def turned(e: Column) -> Column:
+        name = F.substr(e, F.lit(2))
+        start = F.regexp_extract(name, f"^({bare})", 1)
+        prefix = F.when(start != "", F.concat(F.try_element_at(named, start), F.substr(name, F.length(start) + 1))).otherwise(e)
+        return F.when(e.startswith("&#"), numbered(e)).otherwise(F.coalesce(F.try_element_at(named, name), prefix))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.zip_with(F.split(c, ENTITY), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), lambda p, e: F.concat(p, F.when(e.isNull(), "").otherwise(turned(e)))), "")).otherwise(c)
+
+
 def html_text(c: Column) -> Column:
-    """F-10, F-11 by patterns: scripts, styles, comments and tags go, the five basic entities turn back."""
-    plain = F.regexp_replace(F.regexp_replace(c, r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " "), r"<[^>]*>", " ")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(value))
-    return F.trim(squeeze(plain))
+    """F-10, F-11: the text between tags, in which references have become characters. Tags become spaces."""
+    return F.trim(squeeze(entities(F.regexp_replace(c, MARKUP.replace("*')*>", "*')*+>"), " "))))  # never backs up: long tags need no stack
 
 
 def urls(c: Column) -> Column:

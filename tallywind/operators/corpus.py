@@ -83,11 +83,13 @@ def sliding(items: Column, n: int) -> Column:
 
 
 def google_url(url: Column) -> Column:
-    """F-26: the address within a base64-url path part: from its 'http' on, without the last two characters."""
+    """F-26: the address within a base64-url path part: from its first 'http' to before the next, without the last two
+    characters, bytes that aren't UTF-8 left out. Null for a link that holds no address."""
     part = F.split(F.element_at(F.split(url, "/"), -1), r"\?")[0]
     full = F.rpad(part, (F.ceil(F.length(part) / 4) * 4).cast("int"), F.lit("="))
-    plain = F.decode(F.unbase64(F.translate(full, "-_", "+/")), "ISO-8859-1")
-    rest = F.concat(F.lit("http"), F.split(plain, "http")[1])
+    held = F.try_to_binary(F.translate(full, "-_", "+/"), F.lit("base64"))
+    text = F.replace(F.make_valid_utf8(held.cast("string")), F.lit("\ufffd"), F.lit(""))
+    rest = F.concat(F.lit("http"), F.get(F.split(text, "http"), 1))
     return F.left(rest, F.length(rest) - 2)
 
 
@@ -112,8 +114,17 @@ def topic_words(c: Column) -> Column:
 
 
 def merge_last(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """U-08: values by key, the new one where both have one."""
-    return old.withColumnRenamed(value, "_old").join(new.withColumnRenamed(value, "_new"), keys, "full").select(*keys, F.coalesce("_new", "_old").alias(value))
+    """U-08: values by key, the new row's where both have one, a null too."""
+    told = new.select(*keys, F.struct(F.col(value).alias("v")).alias("_new"))
+    return old.withColumnRenamed(value, "_old").join(told, keys, "full").select(*keys, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col("_old")).alias(value))
+
+
+def texts_by_topic(df: DataFrame, topic: list[str], doc: str, text: str, size: int = 64) -> DataFrame:
+    """A-19: a topic's texts joined by spaces in the order of their ids, with the ids, in parts of `size` ids (part), so that
+    a topic of any size is many rows."""
+    held = F.array_sort(F.collect_list(F.struct(F.col(doc).alias("id"), F.col(text).alias("text"))))
+    by = df.groupBy(*topic, F.floor(F.col(doc) / size).alias("part")).agg(held.alias("h"))
+    return by.select(*topic, "part", F.col("h.id").alias("ids"), F.array_join(F.col("h.text"), " ").alias("text"))
 
 
 def closest(df: DataFrame, column: str, labels: list[str]) -> DataFrame:
@@ -137,8 +148,10 @@ def column_name(c: Column) -> Column:
 
 
 def file_country(name: Column) -> Column:
-    """PRJ-09: the country in `agg_<country>_month...`, `_` a space, in title case."""
-    return F.initcap(F.translate(F.regexp_extract(name, "agg_(.*?)_month", 1), "_", " "))
+    """PRJ-09: the country in `agg_<country>_month...`, `_` a space, in title case, after hyphens too."""
+    from tallywind.functions.text import title_case
+
+    return title_case(F.translate(F.regexp_extract(name, "agg_(.*?)_month", 1), "_", " "))
 
 
 def one_hot_label(columns: list[str]) -> Column:
@@ -148,9 +161,15 @@ def one_hot_label(columns: list[str]) -> Column:
 
 def random_words(vocabulary: DataFrame, token: str, seeds: int, n: int, within: DataFrame) -> DataFrame:
     """S-09: for each seed the first 5 n words of the vocabulary by a hash of word and seed, and of these the first n that
-    `within` has: (seed, token, rank). Each task keeps 5 n words a seed before any shuffle."""
+    `within` has: (seed, token, rank).
+
+    Only words whose hash starts low enough are ranked: as many as make 20 n a seed on average, so that 5 n of them are there
+    but for a chance under 1e-9 (n of 5 and more); a vocabulary of up to 20 n words is ranked whole."""
     h = F.md5(F.concat(token, F.lit("#"), F.col("seed").cast("string")).cast("binary"))
-    every = vocabulary.select(token).distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("h", h)
+    words = vocabulary.select(token).distinct()
+    size = words.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_v"))  # one row
+    start = F.lower(F.lpad(F.hex(F.least(F.floor(F.lit(20.0 * n * (1 << 32)) / F.col("_v")), F.lit((1 << 32) - 1)).cast("long")), F.lit(8), F.lit("0")))
+    every = words.crossJoin(F.broadcast(size.select(start.alias("_start")))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("h", h).where(F.left("h", F.lit(8)) <= F.col("_start"))
     drawn = every.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("h", token))).where(F.col("r") <= 5 * n)
     held = drawn.join(within.select(token).distinct(), token, "left_semi")
     return held.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("r"))).where(F.col("rank") <= n).select("seed", token, "rank")

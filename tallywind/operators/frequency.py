@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywind.sources.shared import save
+
 
 def per_mille(tokens: DataFrame, keys: list[str], token: str = "token") -> DataFrame:
     """A-01, A-02: n, total and 1000 n / total by keys and token. The shuffle is of partial counts."""
@@ -49,28 +51,90 @@ def doc_frequency(terms: DataFrame, doc: str, term: str, least: int, most: float
 
 
 def bigrams(tokens: DataFrame, doc: str, words: str, least: int, threshold: float) -> DataFrame:
-    """M-01: (n(ab) - least) * V / (n(a) n(b)) over the threshold. tokens(doc, words array)."""
-    one = tokens.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    pair = F.transform(F.slice(F.col(words), F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(F.col(words), i + 1).alias("b")))
-    two = tokens.where(F.size(words) > 1).select(F.explode(pair).alias("p")).select("p.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("nab")).where(F.col("nab") >= least)
-    size = one.select(F.count(F.lit(1)).alias("v"))
+    """M-01: (n(ab) - least) * V / (n(a) n(b)) over the threshold. tokens(doc, words array).
+
+    Words and pairs are counted in one pass over the texts; what is kept of the counts is written, and read for each use."""
+    tokens = tokens.select(F.filter(words, lambda x: x.isNotNull()).alias("_w"))
+    w = F.col("_w")  # a column: within the lambda an expression would be worked out for each word
+    grams = F.transform(w, lambda a, i: F.array(F.struct(a.alias("a"), F.lit(None).cast("string").alias("b")), F.struct(a.alias("a"), F.get(w, i + 1).alias("b"))))
+    counted = tokens.select(F.explode(F.flatten(grams)).alias("g")).select("g.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("nab"))
+    # A text's last word makes a pair with nothing: it counts among the words, twice.
+    ends = tokens.where(F.size(w) > 0).select(F.element_at(w, -1).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("twice"))
+    counted = save(counted.where(F.col("b").isNull() | (F.col("nab") >= least)), "grams")
+    one = counted.where("b is null").drop("b").join(ends, "a", "left").select(F.col("a").alias("w"), (F.col("nab") - F.coalesce("twice", F.lit(0))).alias("n"))
+    one, two = save(one, "gram-words"), counted.where("b is not null")
+    size = one.select(F.count(F.lit(1)).alias("v"))  # one row
     both = two.join(one.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(one.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(size))
     score = (F.col("nab") - least) * F.col("v") / (F.col("na") * F.col("nb"))
     return both.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "nab", "score")
 
 
-def join_phrases(words: F.Column, phrases: list[str]) -> F.Column:
-    """M-01 applied: greedy from the left, a and b become a_b. phrases: the accepted pairs, written a_b."""
-    step = lambda out, w: F.when((F.size(out) > 0) & F.concat_ws("_", F.element_at(out, -1), w).isin(phrases), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat_ws("_", F.element_at(out, -1), w)))).otherwise(F.concat(out, F.array(w)))
-    return F.aggregate(words, F.array().cast("array<string>"), step)
+class Phrases:
+    """Accepted phrases as a trie: level by level, what may follow a word. A scan takes a level's pairs from the left, each word
+    once, and what it joined is a word of the next level, so that a text costs its words times the levels."""
+
+    def __init__(self, levels: list[list[tuple[str, str]]] = (), glue: str = "_"):
+        self.glue, self.levels = glue, []
+        for pairs in levels:
+            self.add(pairs)
+
+    def add(self, pairs: list[tuple[str, str]]) -> None:
+        after: dict[str, set[str]] = {}
+        for a, b in pairs:
+            after.setdefault(a, set()).add(b)
+        self.levels.append(after)
+
+    def join(self, words: list[str], levels: int | None = None) -> list[str]:
+        for after in self.levels[:levels]:
+            out, i, n = [], 0, len(words)
+            while i < n:
+                if i + 1 < n and words[i + 1] in after.get(words[i], ()):
+                    out.append(words[i] + self.glue + words[i + 1])
+                    i += 2
+                else:
+                    out.append(words[i])
+                    i += 1
+            words = out
+        return words
+
+
+def join_phrases(docs: DataFrame, words: str, phrases: Phrases) -> DataFrame:
+    """M-01 applied: docs with the phrases of an array of words joined. Nulls stay null; a null word is left out."""
+    import pyarrow as pa
+
+    shared, columns = docs.sparkSession.sparkContext.broadcast(phrases), docs.columns
+
+    def run(batches):
+        for b in batches:
+            joined = pa.array([None if x is None else shared.value.join([w for w in x if w is not None]) for x in b.column(words).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([joined if c == words else b.column(c) for c in columns], columns)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learn_phrases(docs: DataFrame, doc: str, words: str, order: int = 2, least: int = 40, threshold: float = 10.0, keep: int = 1_000_000) -> tuple[Phrases, DataFrame]:
+    """M-01: phrases of up to 2 ** (order - 1) words: the trie, and its rows (level, a, b, nab, score). Level 2 joins words,
+    each next one what the level before made, at a threshold half as high again. docs(doc, words array).
+
+    A level's `keep` best-scored pairs are accepted; the trie is broadcast, so that `keep` bounds it."""
+    found, told, current = Phrases(), None, docs.select(doc, words)
+    for level in range(2, order + 1):
+        pairs = bigrams(current, doc, words, least, threshold * 1.5 ** (level - 2))
+        pairs = save(pairs.orderBy(F.desc("score"), "a", "b").limit(keep).select(F.lit(level).alias("level"), "a", "b", "nab", "score"), "phrases")
+        found.add([(r.a, r.b) for r in pairs.select("a", "b").collect()])  # `keep` at most
+        told = pairs if told is None else told.unionByName(pairs)
+        if level < order:
+            current = join_phrases(docs.select(doc, words), words, found)
+    return found, told
 
 
 def umass(terms: DataFrame, topics: DataFrame, doc: str, term: str) -> DataFrame:
-    """A-32: sum over pairs of a topic's words of ln((D(wi, wj) + 1) / D(wj)), wj the higher-ranked. topics(topic, rank, word)."""
+    """A-32: sum over pairs of a topic's words of ln((D(wi, wj) + 1) / D(wj)), wj the higher-ranked; 0 where no text holds wj.
+    topics(topic, rank, word)."""
     held = terms.select(doc, F.col(term).alias("word")).distinct().join(topics, "word")
     single = held.groupBy("topic", "rank").agg(F.count(F.lit(1)).alias("d"))
     a, b = held.alias("a"), held.alias("b")
     both = a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.topic") == F.col("b.topic")) & (F.col("a.rank") > F.col("b.rank"))).groupBy(F.col("a.topic").alias("topic"), F.col("a.rank").alias("ri"), F.col("b.rank").alias("rj")).agg(F.count(F.lit(1)).alias("dij"))
     ranks = topics.select("topic", F.col("rank").alias("ri")).join(topics.select("topic", F.col("rank").alias("rj")), "topic").where("ri > rj")
-    full = ranks.join(both, ["topic", "ri", "rj"], "left").join(single.select("topic", F.col("rank").alias("rj"), "d"), ["topic", "rj"])
-    return full.groupBy("topic").agg(F.sum(F.log((F.coalesce("dij", F.lit(0)) + 1) / F.col("d"))).alias("coherence"))
+    full = ranks.join(both, ["topic", "ri", "rj"], "left").join(single.select("topic", F.col("rank").alias("rj"), "d"), ["topic", "rj"], "left")
+    return full.groupBy("topic").agg(F.sum(F.coalesce(F.log((F.coalesce("dij", F.lit(0)) + 1) / F.col("d")), F.lit(0.0))).alias("coherence"))

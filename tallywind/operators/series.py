@@ -35,14 +35,17 @@ def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, window:
 
 def ewma(df: DataFrame, keys: list[str], order: str, value: str, span: int) -> DataFrame:
     """W-06: adjusted exponential mean with alpha = 2 / (span + 1), over the rows so far. Rows whose weight is below
-    2**-64, less than a double can show beside the newest row's, are left out, so that a row costs the same anywhere."""
+    2**-64, less than a double can show beside the newest row's, are left out, so that a row costs the same anywhere.
+    Rows without a value (null or NaN) age the others and show the last mean; before the first value there is none."""
     import math
 
     keep = 1 - 2 / (span + 1)
     back = math.ceil(-64 * math.log(2) / math.log(keep)) if keep > 0 else 0
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-back, 0)
-    step = lambda a, x: F.struct((a.n * keep + x).alias("n"), (a.d * keep + 1).alias("d"))
-    return df.withColumn("ewma", F.aggregate(F.collect_list(value).over(w), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")), step, lambda a: a.n / a.d))
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    step = lambda a, r: F.struct((a.n * keep + F.coalesce(r.x, F.lit(0.0))).alias("n"), (a.d * keep + r.x.isNotNull().cast("int")).alias("d"))
+    mean = F.aggregate(F.collect_list(F.struct(x.alias("x"))).over(w), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")), step, lambda a: F.when(a.d > 0, a.n / a.d))
+    return df.withColumn("ewma", mean).withColumn("ewma", F.last("ewma", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def spine(df: DataFrame, keys: list[str], period: str, step: str = "1 month") -> DataFrame:
@@ -60,10 +63,10 @@ def fill(df: DataFrame, keys: list[str], order: str, value: str, back: bool = Fa
 
 
 def islands(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """W-11: a run number that grows where the value changes."""
+    """W-11: a run number that grows where the value changes, to or from null too."""
     w = Window.partitionBy(*keys).orderBy(order)
-    before = F.lag(value).over(w)
-    return df.withColumn("changed", F.when(before.isNull() | (before != F.col(value)), 1).otherwise(0)).withColumn("run_id", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+    before = F.lag(F.struct(F.col(value).alias("v"))).over(w)
+    return df.withColumn("changed", F.when(before.isNull() | ~before["v"].eqNullSafe(F.col(value)), 1).otherwise(0)).withColumn("run_id", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
 
 
 def pre_crisis(df: DataFrame, keys: list[str], order: str, crisis: str, ahead: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywind.functions import text as T
@@ -259,7 +259,7 @@ def token_rows(spark, d, *columns):
     return documents(spark, d, *columns).select("doc_id", "period", *columns, F.explode(T.words(F.col("text"))).alias("token"))
 
 
-@query(f"""SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), '''+', ' ', 'g'), '{T.NUMBERS.replace("'", "''")}', ' __NUMBER__ ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS clean_md5 FROM documents""")
+@query(f"""SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{T.SPACE}', ' ', 'g'), '''+', ' ', 'g'), '{T.NUMBERS.replace("'", "''")}', ' __NUMBER__ ', 'g'), '{T.SPACE}', ' ', 'g'))) AS clean_md5 FROM documents""")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalise(F.col("text")).cast("binary")).alias("clean_md5"))
 
@@ -269,13 +269,13 @@ def number_mask(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.mask_numbers(F.col("text")).cast("binary")).alias("masked_md5"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')[1:50], ' ') AS snippet FROM documents")
+@query(f"SELECT doc_id, array_to_string(string_split(regexp_replace(text, '{T.SPACE}', ' ', 'g'), ' ')[1:50], ' ') AS snippet FROM documents")
 def first_50_words(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_words(F.col("text")).alias("snippet"))
 
 
 STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
-SPACED = "list_filter(string_split(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), lambda t: t <> '')"
+SPACED = f"list_filter(string_split(regexp_replace(text, '{T.SPACE}', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
 BAD = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in T.BAD_PARTS) + "]"
@@ -396,7 +396,12 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/?#]+(/[^?#]*)", 1).alias("path"))
 
 
-@query()
+PLAIN = "regexp_replace(html, '" + T.MARKUP.replace("'", "''") + "', ' ', 'g')"
+for _name, _value in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):  # all that the pages hold
+    PLAIN = f"replace({PLAIN}, '{_name}', '{_value}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({PLAIN}, '{T.SPACE}', ' ', 'g')) AS text FROM pages")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
@@ -460,9 +465,18 @@ def umass_coherence(spark, d):
     return frequency.umass(token_rows(spark, d), topics, "doc_id", "token").withColumn("coherence", F.round("coherence", 6))
 
 
-@query(f"WITH {TOPIC} SELECT round(count(DISTINCT word) / count(*), 6) AS diversity FROM k")
+TOP_WORDS = f"""w AS (SELECT source, unnest({WORDS}) AS token FROM documents), wn AS (SELECT source, token, count(*) AS n FROM w GROUP BY ALL),
+ top AS (SELECT source, token, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, token) AS rank FROM wn QUALIFY rank <= 10)"""
+
+
+def top_words(spark, d):
+    n = token_rows(spark, d, "source").groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "token"))).where("rank <= 10")
+
+
+@query(f"WITH {TOP_WORDS} SELECT round(count(DISTINCT token) / count(*), 6) AS diversity FROM top")
 def topic_diversity(spark, d):
-    return spark.createDataFrame(TOPICS, "topic int, rank int, word string").agg(F.round(F.count_distinct("word") / F.count(F.lit(1)), 6).alias("diversity"))
+    return top_words(spark, d).agg(F.round(F.count_distinct("token") / F.count(F.lit(1)), 6).alias("diversity"))
 
 
 # Vectors.
@@ -525,12 +539,9 @@ def mlp(spark, d):
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS \"value\" FROM events GROUP BY ALL")
 def stream_daily_upsert(spark, d):
-    import tempfile
-    import uuid
-
+    from tallywind.sources.shared import new_folder
     from tallywind.streaming.jobs import upsert_days
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallywind-stream-")
-    at = f"{root}/stream-{uuid.uuid4().hex[:12]}"
+    at = new_folder(spark, "stream")
     table(spark, d, "events").write.parquet(f"{at}/in")
     return upsert_days(spark, f"{at}/in", f"{at}/table", f"{at}/checkpoint").select("day", "event_type", "n", F.round("value", 4).alias("value"))

@@ -134,3 +134,35 @@ def feed_sub_articles(spark, d):
 def feed_searches(spark, d):
     names = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
     return names.select("n_regionkey", F.explode(feeds.chunk_queries(F.col("names"), 2, "news.example")).alias("search"))
+
+
+BODIES = f"b0 AS (SELECT doc_id, {WORDS} AS words FROM documents), t0 AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM b0)"
+
+
+def pairs_sql(i: int, least: int, threshold: float) -> str:
+    """Over t<i>(doc_id, w, i): n<i> with each word's follower, and the accepted pairs p<i>."""
+    return f"""n{i} AS (SELECT doc_id, w, i, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM t{i}), o{i} AS (SELECT w, count(*) AS n FROM t{i} GROUP BY 1),
+ p{i} AS (SELECT n{i}.w AS a, nx AS b, CAST(count(*) AS BIGINT) AS nab, (count(*) - {least}) * (SELECT count(*) FROM o{i}) / (any_value(x.n) * any_value(y.n)) AS score
+  FROM n{i} JOIN o{i} x ON x.w = n{i}.w JOIN o{i} y ON y.w = nx GROUP BY n{i}.w, nx HAVING count(*) >= {least} AND (count(*) - {least}) * (SELECT count(*) FROM o{i}) / (any_value(x.n) * any_value(y.n)) > {threshold})"""
+
+
+# Pairs are joined from the left: of a run of accepted pairs the first, the third and so on.
+JOINED = """h AS (SELECT n0.*, a IS NOT NULL AS hit FROM n0 LEFT JOIN p0 ON w = a AND nx = b), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, hit ORDER BY i) AS run FROM h),
+ k AS (SELECT *, hit AND row_number() OVER (PARTITION BY doc_id, hit, run ORDER BY i) % 2 = 1 AS take FROM g), l AS (SELECT *, lag(take) OVER (PARTITION BY doc_id ORDER BY i) AS gone FROM k),
+ t1 AS (SELECT doc_id, i, CASE WHEN take THEN w || '_' || nx ELSE w END AS w FROM l WHERE NOT coalesce(gone, false))"""
+
+
+def bodies(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("words"))
+
+
+@query(f"WITH {BODIES}, {pairs_sql(0, 5, 10)}, {JOINED}, {pairs_sql(1, 5, 15)} SELECT 2 AS level, a, b, nab, round(score, 6) AS score FROM p0 UNION ALL SELECT 3, a, b, nab, round(score, 6) FROM p1")
+def phrases_of_two_levels(spark, d):
+    return frequency.learn_phrases(bodies(spark, d), "doc_id", "words", 3, 5, 10.0)[1].withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BODIES}, {pairs_sql(0, 5, 10)}, {JOINED} SELECT doc_id, CAST(count(i) AS BIGINT) AS n, CAST(count(i) FILTER (contains(w, '_')) AS BIGINT) AS phrases FROM b0 LEFT JOIN t1 USING (doc_id) GROUP BY 1")
+def documents_with_phrases(spark, d):
+    found, _ = frequency.learn_phrases(bodies(spark, d), "doc_id", "words", 2, 5, 10.0)
+    joined = frequency.join_phrases(bodies(spark, d), "words", found)
+    return joined.select("doc_id", F.size("words").cast("long").alias("n"), F.size(F.filter("words", lambda w: F.contains(w, F.lit("_")))).cast("long").alias("phrases"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywind.functions import text as T
 from tallywind.operators import corpus, evaluate, frequency, publish, search, series
-from tallywind.plans.catalogue import ALIASES, C, DAILY, DOWN, HOST, MONTH, MONTHLY, SPACED, STOP, TERMS, UP, WORDS, crises, daily, documents, monthly, precrisis_labels, query, scores_sql, table, token_rows, with_z, z_sql
+from tallywind.plans.catalogue import ALIASES, C, DAILY, DOWN, HOST, MONTH, MONTHLY, SPACED, STOP, TERMS, TOP_WORDS, UP, WORDS, crises, daily, documents, monthly, precrisis_labels, query, scores_sql, table, token_rows, top_words, with_z, z_sql
 
 TAGS = "list_filter([" + ", ".join(f"CASE WHEN len(list_intersect({WORDS}, [{', '.join(map(repr, a))}])) > 0 THEN '{e}' END" for e, a in ALIASES.items()) + "], lambda x: x IS NOT NULL)"
 ENTITY = f"e AS (SELECT doc_id, {MONTH} AS period, unnest({TAGS}) AS entity FROM documents)"
@@ -143,11 +143,11 @@ def counts_by_year_wide(spark, d):
     return table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).pivot("o_orderstatus", list("FOPX")).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("WITH e AS (SELECT CAST(generate_series AS DATE) AS period FROM generate_series((SELECT min(date_trunc('month', o_orderdate)) FROM orders)::TIMESTAMP, (SELECT max(date_trunc('month', o_orderdate)) FROM orders)::TIMESTAMP, INTERVAL 1 MONTH)), m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(avg(o_totalprice), 2) AS mean, CAST(count(*) AS BIGINT) AS n FROM orders WHERE month(o_orderdate) <> 4 GROUP BY 1) SELECT period, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(mean > 0 AS INTEGER) AS known FROM e LEFT JOIN m USING (period)")
+@query("WITH e AS (SELECT CAST(generate_series AS DATE) AS period FROM generate_series((SELECT min(date_trunc('month', o_orderdate)) FROM orders)::TIMESTAMP, (SELECT max(date_trunc('month', o_orderdate)) FROM orders)::TIMESTAMP, INTERVAL 1 MONTH)), m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, avg(o_totalprice) AS mean, CAST(count(*) AS BIGINT) AS n FROM orders WHERE month(o_orderdate) <> 4 GROUP BY 1) SELECT period, CAST(coalesce(n, 0) AS BIGINT) AS n, round(mean, 4) AS mean FROM e LEFT JOIN m USING (period)")
 def resampled_months(spark, d):
     m = table(spark, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"))
     ends = m.agg(F.min("period").alias("a"), F.max("period").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("period"))
-    return ends.join(m.where(F.month("period") != 4), "period", "left").select("period", F.coalesce("n", F.lit(0)).alias("n"), (F.col("mean") > 0).cast("int").alias("known"))
+    return ends.join(m.where(F.month("period") != 4), "period", "left").select("period", F.coalesce("n", F.lit(0)).alias("n"), F.round("mean", 4).alias("mean"))
 
 
 PANEL = f"""{MONTHLY}, {C}, {z_sql('m', 'country', 'period', 'n', 24)}, p AS (SELECT country, period, CAST(EXISTS (SELECT 1 FROM c WHERE c.country = z.country AND period BETWEEN start AND peak) AS INTEGER) AS crisis, {UP} AS pred FROM z),
@@ -216,23 +216,23 @@ def index_with_tooltips(spark, d):
     return long.select("country", "period", corpus.index_name(F.col("code"), {"n": "Number of orders", "total": "Order value"}).alias("indexes"), "value", "tool_tips")
 
 
-@query(f"""WITH {TERMS}, a AS (SELECT DISTINCT token FROM t), sd AS (SELECT CAST(i AS INTEGER) AS seed FROM range(5) r(i)), dr AS (SELECT seed, token, row_number() OVER (PARTITION BY seed ORDER BY {HASH}, token) AS r FROM a, sd QUALIFY r <= 50),
- {VOCABULARY}, h AS (SELECT seed, token, CAST(row_number() OVER (PARTITION BY seed ORDER BY r) AS INTEGER) AS rank FROM dr WHERE token IN (SELECT token FROM v)) SELECT seed, token, rank FROM h WHERE rank <= 10""")
+@query(f"""WITH {TERMS}, a AS (SELECT DISTINCT token FROM t), sd AS (SELECT CAST(i AS INTEGER) AS seed FROM range(100) r(i)), dr AS (SELECT seed, token, row_number() OVER (PARTITION BY seed ORDER BY {HASH}, token) AS r FROM a, sd QUALIFY r <= 250),
+ {VOCABULARY}, h AS (SELECT seed, token, CAST(row_number() OVER (PARTITION BY seed ORDER BY r) AS INTEGER) AS rank FROM dr WHERE token IN (SELECT token FROM v)) SELECT seed, token, rank FROM h WHERE rank <= 50""")
 def random_words(spark, d):
-    return corpus.random_words(token_rows(spark, d), "token", 5, 10, vocabulary(spark, d))
+    return corpus.random_words(token_rows(spark, d), "token", 100, 50, vocabulary(spark, d))
 
 
 CS = "c AS (SELECT country, seq, s AS start, p AS peak FROM (SELECT DISTINCT source AS country FROM documents), (VALUES (1, DATE '2016-10-01', DATE '2016-12-01'), (2, DATE '2018-02-01', DATE '2018-04-01')) v(seq, s, p))"
 
 
-@query(f"""WITH {TERMS}, a AS (SELECT DISTINCT token FROM t), t0 AS (SELECT CAST(i AS INTEGER) AS seed FROM range(5) r(i)), dr AS (SELECT seed, token, row_number() OVER (PARTITION BY seed ORDER BY {HASH}, token) AS r FROM a, t0 QUALIFY r <= 250),
+@query(f"""WITH {TERMS}, a AS (SELECT DISTINCT token FROM t), t0 AS (SELECT CAST(i AS INTEGER) AS seed FROM range(100) r(i)), dr AS (SELECT seed, token, row_number() OVER (PARTITION BY seed ORDER BY {HASH}, token) AS r FROM a, t0 QUALIFY r <= 250),
  {VOCABULARY}, hh AS (SELECT seed, token, row_number() OVER (PARTITION BY seed ORDER BY r) AS rank FROM dr WHERE token IN (SELECT token FROM v)), h AS (SELECT seed, token FROM hh WHERE rank <= 50),
  w AS (SELECT source AS country, {MONTH} AS period, unnest({WORDS}) AS token FROM documents), n AS (SELECT country, period, CAST(count(*) AS BIGINT) AS total FROM w GROUP BY ALL), g AS (SELECT seed, country, period, count(*) AS hit FROM w JOIN h USING (token) GROUP BY ALL),
  x AS (SELECT seed, country, period, CAST(coalesce(hit, 0) * 1000000 // total AS BIGINT) AS freq FROM n CROSS JOIN t0 LEFT JOIN g USING (seed, country, period)), {CS}, {z_sql('x', 'seed, country', 'period', 'freq', 12)},
  s AS (SELECT seed, country, period FROM z WHERE {UP} = 1), {scores_sql('s', 'seed').replace('FROM t CROSS JOIN c', 'FROM t0 CROSS JOIN c')}""")
 def random_word_benchmark(spark, d):
-    drawn = F.broadcast(corpus.random_words(token_rows(spark, d), "token", 5, 50, vocabulary(spark, d)).select("seed", "token"))  # 50 words a seed
-    seeds = spark.range(5).select(F.col("id").cast("int").alias("seed"))
+    drawn = F.broadcast(corpus.random_words(token_rows(spark, d), "token", 100, 50, vocabulary(spark, d)).select("seed", "token"))  # 50 words a seed
+    seeds = spark.range(100).select(F.col("id").cast("int").alias("seed"))
     rows = token_rows(spark, d, "source").select(F.col("source").alias("country"), "period", "token").groupBy("country", "period", "token").agg(F.count(F.lit(1)).alias("n"))
     total = rows.groupBy("country", "period").agg(F.sum("n").alias("total")).crossJoin(F.broadcast(seeds))
     hit = rows.join(drawn, "token").groupBy("seed", "country", "period").agg(F.sum("n").alias("hit"))
@@ -262,10 +262,12 @@ def first_event_per_user(spark, d):
     return corpus.first_per_key(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT strftime(DATE '2020-01-01' + to_months(CAST(2 * i AS INTEGER)), '%Y-%m-%d') || ' ' || strftime(DATE '2020-01-01' + to_months(CAST(2 * i + 1 AS INTEGER)), '%Y-%m-%d') || ' ' || strftime(DATE '2020-01-01' + to_months(CAST(2 * i + 2 AS INTEGER)), '%Y-%m-%d') AS periods FROM range(11) r(i)")
+@query("""WITH e AS (SELECT o_orderpriority, min(date_trunc('month', o_orderdate)) AS a, date_diff('month', min(date_trunc('month', o_orderdate)), max(date_trunc('month', o_orderdate))) + 1 AS n FROM orders GROUP BY 1), s AS (SELECT o_orderpriority, a, unnest(range(0, n - 2, 2)) AS i FROM e)
+ SELECT o_orderpriority, strftime(a + to_months(CAST(i AS INTEGER)), '%Y-%m-%d') || ' ' || strftime(a + to_months(CAST(i + 1 AS INTEGER)), '%Y-%m-%d') || ' ' || strftime(a + to_months(CAST(i + 2 AS INTEGER)), '%Y-%m-%d') AS periods FROM s""")
 def month_tuples(spark, d):
-    months = F.transform(F.sequence(F.lit("2020-01-01").cast("date"), F.lit("2021-12-01").cast("date"), F.expr("interval 1 month")), lambda x: F.date_format(x, "yyyy-MM-dd"))
-    return spark.range(1).select(F.explode(corpus.sliding(months, 3)).alias("p")).select(F.array_join("p", " ").alias("periods"))
+    ends = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min(F.trunc("o_orderdate", "month")).alias("a"), F.max(F.trunc("o_orderdate", "month")).alias("b"))
+    months = F.transform(F.sequence("a", "b", F.expr("interval 1 month")), lambda x: F.date_format(x, "yyyy-MM-dd"))
+    return ends.select("o_orderpriority", F.explode(corpus.sliding(months, 3)).alias("p")).select("o_orderpriority", F.array_join("p", " ").alias("periods"))
 
 
 SEGMENTS = ["AUTO", "BUILD", "FURNISHING", "HOUSE", "MACHINES"]
@@ -288,10 +290,11 @@ def merge_last_wins(spark, d):
     return corpus.merge_last(m.where("day <= date'2024-01-20'"), m.where("day >= date'2024-01-15'").withColumn("n", F.col("n") + 1000), ["event_type", "day"], "n")
 
 
-@query("SELECT source, lang, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY doc_id) AS ids, CAST(count(*) AS BIGINT) AS n FROM documents WHERE n_chars < 200 GROUP BY ALL")
+# A topic's texts come in parts of 64 ids: no task holds a whole topic.
+@query("SELECT source, lang, doc_id // 64 AS part, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY doc_id) AS ids, md5(string_agg(text, ' ' ORDER BY doc_id)) AS text_md5, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL")
 def ids_per_topic(spark, d):
-    few = table(spark, d, "documents").where("n_chars < 200").groupBy("source", "lang").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return few.select("source", "lang", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), F.size("ids").cast("long").alias("n"))
+    parts = corpus.texts_by_topic(table(spark, d, "documents"), ["source", "lang"], "doc_id", "text", 64)
+    return parts.select("source", "lang", "part", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("ids").cast("long").alias("n"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS name, CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
@@ -322,24 +325,31 @@ def train_test_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(h % 10 < 8, "train").otherwise("test").alias("part"))
 
 
-@query("SELECT * FROM (VALUES ('time', 'time'), ('country', 'country'), ('index-fear', 'fear'), ('pred-fear', 'fear_pred_crisis')) v(renamed, name)")
+# An event type's columns as an export names them.
+@query("WITH t AS (SELECT DISTINCT event_type AS t FROM events) SELECT 'index-' || t AS renamed, t AS name FROM t UNION ALL SELECT 'pred-' || t, t || '_pred_crisis' FROM t UNION ALL SELECT DISTINCT 'country', 'country' FROM events")
 def column_names(spark, d):
-    return spark.createDataFrame([(x,) for x in ("time", "country", "fear", "fear_pred_crisis")], "name string").select(corpus.column_name(F.col("name")).alias("renamed"), "name")
+    of = F.array("event_type", F.concat("event_type", F.lit("_pred_crisis")), F.lit("country"))
+    return table(spark, d, "events").select(F.explode(of).alias("name")).distinct().select(corpus.column_name(F.col("name")).alias("renamed"), "name")
 
 
-@query("SELECT * FROM (VALUES ('South Korea', 'south korea', '\"south korea\"', 'agg_south_korea_month_z2.1.csv'), ('Peru', 'peru', 'peru', 'agg_peru_month_z2.1.csv')) v(country, plain, quoted, file)")
-def file_countries(spark, d):
-    names = spark.createDataFrame([("agg_south_korea_month_z2.1.csv",), ("agg_peru_month_z2.1.csv",)], "file string").withColumn("country", corpus.file_country(F.col("file")))
-    plain = corpus.plain_term(F.concat(F.lit("  "), "country", F.lit(" ")))
-    return names.select("country", plain.alias("plain"), corpus.quoted(plain).alias("quoted"), "file")
+NAME = "replace(lower(n_name), '_', ' ')"
+TITLE = f"array_to_string(list_transform(string_split({NAME}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
-WEIGHTS = [(0, '0.012*"bank" + 0.00004*"loan"'), (1, '0.5*"oil"')]
+@query(f"""SELECT 'agg_' || replace(lower(n_name), ' ', '_') || '_month_z2.1.csv' AS file, {TITLE} AS country, {NAME} AS plain, CASE WHEN contains({NAME}, ' ') THEN '"' || {NAME} || '"' ELSE {NAME} END AS quoted FROM nation""")
+def file_countries(spark, d):
+    file = F.concat(F.lit("agg_"), F.translate(F.lower("n_name"), " ", "_"), F.lit("_month_z2.1.csv")).alias("file")
+    names = table(spark, d, "nation").select(file).withColumn("country", corpus.file_country(F.col("file")))
+    plain = corpus.plain_term(F.concat(F.lit("\u00a0 "), "country", F.lit(" ")))
+    return names.select("file", "country", plain.alias("plain"), corpus.quoted(plain).alias("quoted"))
 
 
-@query("SELECT * FROM (VALUES (0, 'bank', 0.012::DOUBLE), (1, 'oil', 0.5::DOUBLE)) v(topic, word, weight)")
+# Each source's words and their shares, printed as a topic model prints them, and read back; the small ones go.
+@query(f"WITH {TOP_WORDS}, s AS (SELECT source, sum(n) AS total FROM wn GROUP BY 1) SELECT source, token AS word, round(round(n / total, 5), 4) AS weight FROM top JOIN s USING (source) WHERE round(round(n / total, 5), 4) >= 0.02")
 def topic_terms(spark, d):
-    rows = spark.createDataFrame(WEIGHTS, "topic int, line string")
+    every = token_rows(spark, d, "source").groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    one = F.format_string('%.5f*"%s"', F.round(F.col("n") / F.col("total"), 5), "token")
+    lines = top_words(spark, d).join(every, "source").groupBy("source").agg(F.array_join(F.collect_list(one), " + ").alias("line"))  # ten words a source
     weights = F.transform(F.regexp_extract_all("line", F.lit(r"([0-9.]+)\*"), F.lit(1)), lambda w: F.round(w.cast("double"), 4))
-    each = rows.select("topic", F.explode(F.arrays_zip(corpus.topic_words(F.col("line")).alias("word"), weights.alias("weight"))).alias("x"))
-    return each.select("topic", "x.word", "x.weight").where(F.abs("weight") >= 1e-4)
+    each = lines.select("source", F.explode(F.arrays_zip(corpus.topic_words(F.col("line")).alias("word"), weights.alias("weight"))).alias("x"))
+    return each.select("source", "x.word", "x.weight").where(F.abs("weight") >= 0.02)

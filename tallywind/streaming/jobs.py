@@ -32,17 +32,20 @@ def distinct_events(events: DataFrame, key: str, ts: str, late: str = "1 day") -
 
 
 def upsert_series(spark: SparkSession, source: str, table: str, checkpoint: str, keys: list[str], period: str, value: str, window: int = 24, threshold: float = 2.1) -> DataFrame:
-    """ST-05: take what is new in a folder of series files (keys, period, value), replace the periods that it has in the
-    kept history, and judge the whole history anew, an empty value as 0. A batch that is run twice leaves the same
-    tables; of rows with one key and period in a batch the greatest value stays. Returns keys, period, value, z, pred."""
+    """ST-05: take what is new in a folder of series files (keys, period, value), replace what the kept history has for
+    the same keys and period, and judge the whole history anew, an empty value as 0. Other keys of a period stay. The history
+    is a log with a folder a batch, and the last batch that tells of a key and period holds: nothing is rewritten, and a batch that is
+    run twice leaves the same log. Of rows with one key and period in a batch the greatest value stays. Returns keys,
+    period, value, z, pred."""
     from tallywind.operators.series import rolling_z, spikes
 
-    def batch(new: DataFrame, _: int) -> None:
+    def batch(new: DataFrame, number: int) -> None:
         rows = new.groupBy(*keys, period).agg(F.max(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias(value))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(f"{table}/history")
+        rows.write.mode("overwrite").parquet(f"{table}/history/batch={number}")
 
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(source)
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
-    history = spark.read.parquet(f"{table}/history").na.fill(0.0, [value])
+    log = spark.read.parquet(f"{table}/history")
+    history = log.groupBy(*keys, period).agg(F.max_by(F.struct(value), F.col("batch")).alias("_last")).select(*keys, period, F.coalesce(F.col("_last")[value], F.lit(0.0)).alias(value))
     judged = spikes(rolling_z(history, keys, period, value, window), threshold)
     return judged.select(*keys, period, value, "z", "pred")

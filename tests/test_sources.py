@@ -97,7 +97,8 @@ def test_text_functions(spark):
     assert one(spark, text.title_case(F.lit("guinea-bissau of new"))) == "Guinea-Bissau Of New"
     assert one(spark, text.token_price(F.lit("model-4-mini"), F.lit(500), {"model": 1.0, "model-4": 2.0})) == 1.0
     assert abs(one(spark, text.similarity(F.lit("abcd"), F.lit("abxd"))) - 0.75) < 1e-9
-    assert one(spark, frequency.join_phrases(F.array(*map(F.lit, ["a", "b", "c", "a", "b"])), ["a_b", "a_b_c"])) == ["a_b_c", "a_b"]
+    joined = frequency.join_phrases(spark.createDataFrame([(["a", "b", "c", "a", "b"],), (None,), ([],), (["a", None, "b"],)], "w array<string>"), "w", frequency.Phrases([[("a", "b")], [("a_b", "c")]]))
+    assert [r.w for r in joined.collect()] == [["a_b_c", "a_b"], None, [], ["a_b"]]
     df = spark.createDataFrame([(1, ",asiaz,china,", "x"), (2, "NA", "the Chinese"), (3, "NA", None)], "i int, r string, t string")
     assert [r.i for r in df.where(search.region_or_title(F.col("r"), ["china"], F.col("t"), ["chinese"])).collect()] == [1, 2]
     assert search.overlap_groups(["climate change", "climate change review", "copper"]) == (["climate change review", "copper"], ["climate change"])
