@@ -5,6 +5,8 @@ that have been scanned, with their findings. A run scans one copy of each blob w
 adds those pairs, and joins the ledger's findings back to every row that holds the blob. Copies meet each other
 in an aggregate that combines them before its shuffle; the join back is an equi-join of narrow rows.
 
+A private key's span goes to its END line, or to the text's end where there is none, so that masking leaves nothing of its body.
+
 Defined results: a null text is the empty blob; a row without findings has empty spans; repeated rows each get
 their findings; an empty table gives no rows; other columns aren't read. Whole texts are scanned. Offsets are
 code points, ends exclusive.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallywind.llm.common import free_name, give_back, new_folder
 
-RULES = "1"
+RULES = "1.1"
 BASE = ("assign", "access", "hex")
 
 # The base rules, and the published shapes of some services' keys. ASCII: letters in either case are A-Z and a-z.
@@ -30,7 +32,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MORE = {
-    "pem": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    "pem": ("-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:.*?-----END [A-Z ]{0,40}PRIVATE KEY-----|.*)", re.DOTALL)),
     "github": ("gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     "slack": ("xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),

@@ -132,12 +132,15 @@ def _banded(words_per_shingle: int, seed: int, bands: int, minima: int):
 
 
 def _sets(words_per_shingle: int, seed: int):
+    """Adds the set of each row's text, and drops the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = pa.array([shingle_set(t.as_py(), words_per_shingle, seed).tobytes() for t in b.column(3)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], ["node", "part", "blocks", "hashes"])
+                sets = pa.array([shingle_set(t.as_py(), words_per_shingle, seed).tobytes() for t in b.column("text")], pa.binary())
+                rest = b.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, sets], [*rest.schema.names, "hashes"])
         give_back()
 
     return run
@@ -162,14 +165,16 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return both / (sizes[:, None] + sizes[None, :] - both) >= similarity
 
 
-def _verified(similarity: float):
-    def run(table: pa.Table) -> pa.Table:
-        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
-        raws = table.column("hashes").combine_chunks()
-        a, b = [], []
-        order = np.argsort(part, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            links = exact_links([np.frombuffer(raws[int(i)].as_buffer(), np.uint64) for i in rows], similarity)
+def forest(sets: list[np.ndarray], keys: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that tie the sets as all links between sets of equal keys would, a column of keys for each band. Buckets whose
+    sets are all tied already aren't compared."""
+    label, edges = np.arange(len(sets)), []
+    for band in keys.T:
+        order = np.argsort(band, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+            if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
+                continue
+            links = exact_links([sets[i] for i in rows], similarity)
             left = np.ones(len(rows), bool)
             for first in range(len(rows)):  # each component once, from its first row
                 todo = [first] if left[first] else []
@@ -178,23 +183,76 @@ def _verified(similarity: float):
                     met = np.flatnonzero(links[todo.pop()] & left)
                     left[met] = False
                     todo.extend(met.tolist())
-                    a.extend([node[rows[first]]] * len(met))
-                    b.extend(node[rows[met]])
+                    for x in rows[met]:
+                        if label[x] != label[rows[first]]:
+                            edges.append((int(rows[first]), int(x)))
+                            label[label == label[x]] = label[rows[first]]
+    return edges
+
+
+def _verified(similarity: float):
+    """Edges within each part, or within one bucket if rows have no keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+        raws = table.column("hashes").combine_chunks()
+        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(node), -1) if "keys" in table.column_names else np.zeros((len(node), 1), np.int64)
+        edges = []
+        order = np.argsort(part, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            edges += [(node[rows[a]], node[rows[b]]) for a, b in forest([np.frombuffer(raws[int(i)].as_buffer(), np.uint64) for i in rows], keys[rows], similarity)]
         give_back()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _similar(similarity: float):
+    """Pairs whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("hashes"), b.column("other"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared / (len(x) + len(y) - shared) >= similarity)
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        give_back()
+
+    return run
+
+
+def _bucket_links(ties: DataFrame, table: DataFrame, large: DataFrame, texts: DataFrame, words_per_shingle: int, seed: int, similarity: float) -> DataFrame:
+    """Edges of parts too large to be compared in blocks, by bucket. First each text is compared with the smallest of each of its
+    buckets: that ties groups of near copies with a few pairs a text. Then the buckets that hold more than one such group are
+    compared, each on its own; a large one in blocks."""
+    sets = save(texts.join(large.select("node"), "node").select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(words_per_shingle, seed), "node long, hashes binary"), "large-sets")
+    pairs = ties.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+    held = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("other")), "b")
+    links = save(held.select("a", "b", "hashes", "other").mapInArrow(_similar(similarity), "a long, b long"), "star-links")
+    of = connected_components(links)
+    entries = table.join(large.select("node", "size"), "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    entries = save(entries.select("node", "band", "key", "size", "component"), "bucket-entries")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("size") / BYTES)).cast("int").alias("blocks")
+    open_ = entries.groupBy("band", "key").agg(blocks, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key", "blocks")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    cells = entries.select("node", "band", "key").join(open_, ["band", "key"]).withColumn("own", own).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("node", "band", F.col("key").alias("part"), F.least("own", "at").alias("lo"), F.greatest("own", "at").alias("hi")).join(sets, "node")
+    return links.unionByName(cells.groupBy("band", "part", "lo", "hi").applyInArrow(_verified(similarity), "a long, b long"))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
     """doc_id and component_id (smallest doc_id that links reach). Two texts link where the Jaccard similarity of their
     sets of distinct word shingles is at least `similarity`; every link is verified exactly, on 64-bit hashes of the shingles.
 
-    Candidates come from minima of the sets in bands (MinHash): a pair at the threshold shares no band with a chance of at most MISS.
-    A band's members are tied to its smallest, and all that ties reach is a part, so that candidate pairs never become rows:
-    every pair in one part is compared in Python, on each text's set. A part over BLOCK texts or BYTES is cut
-    into blocks, and a pair of blocks is a separate piece of work: its square is arithmetic, its rows are texts times blocks.
-    Pieces give the edges of their components, at most one a text."""
+    Candidates share a bucket, a band's key, by minima of the sets in bands (MinHash): a pair at the threshold shares none with a
+    chance of at most MISS. A bucket's members are tied to its smallest, and all that ties reach is a part, so that candidate pairs
+    never become rows: a part's texts come together once, and the buckets within it are compared in Python, on each text's
+    set, unless links tie all of a bucket already. A part over BLOCK texts or BYTES is cut into blocks, and a pair of blocks
+    is a separate piece of work, so that a text is sent as often as there are blocks. A part of more blocks than bands, which texts
+    that share boilerplate make of a large corpus, isn't cut so: its buckets are separate work, see _bucket_links, and a text
+    is sent at most once a band and block of its bucket. Pieces give the edges of their components, at most one a text."""
     bands, minima = bands_for(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
@@ -203,19 +261,22 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     nodes = save(each.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("keys").alias("keys")), "banded-nodes")
     table = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     least = table.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "least")
-    ties = table.join(least, ["band", "key"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    members = save(nodes.select("node", "size").join(connected_components(ties).withColumnRenamed("component", "part"), "node"), "parts")
+    ties = save(table.join(least, ["band", "key"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ties")
+    members = save(nodes.join(connected_components(ties).withColumnRenamed("component", "part"), "node"), "parts")
     sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("size") / BYTES)).cast("int").alias("blocks"))
-    members = save(members.join(sizes, "part").select("node", "part", "blocks", "size"), "sized-parts")
-    total = members.agg(F.sum("size")).first()[0] or 0
-    bins = max(1, 8 * total // (BYTES // 4))
-    rows = named.join(members, "node").select("node", "part", "blocks", "text").dropDuplicates(["node"])
-    sets = rows.mapInArrow(_sets(words_per_shingle, seed), "node long, part long, blocks int, hashes binary")
+    members = save(members.join(sizes, "part").select("node", "part", "blocks", "size", "keys"), "sized-parts")
+    large = members.where(F.col("blocks") > bands)
+    total, some = members.agg(F.sum("size"), F.max("blocks")).first()
+    bins = max(1, 8 * (total or 0) // (BYTES // 4))
+    rows = named.join(members.where(F.col("blocks") <= bands), "node").select("node", "part", "blocks", "keys", "text").dropDuplicates(["node"])
+    sets = rows.mapInArrow(_sets(words_per_shingle, seed), "node long, part long, blocks int, keys array<long>, hashes binary")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     work = sets.withColumn("own", own).withColumn("other", other).withColumn("bin", F.when(F.col("blocks") > 1, F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(bins))))
-    work = work.select("node", "part", "hashes", "bin", F.col("blocks") > 1, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).toDF("node", "part", "hashes", "bin", "cut", "lo", "hi")
+    work = work.select("node", "part", "keys", "hashes", "bin", F.col("blocks") > 1, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).toDF("node", "part", "keys", "hashes", "bin", "cut", "lo", "hi")
     links = work.groupBy("bin", "cut", "lo", "hi").applyInArrow(_verified(similarity), "a long, b long")
+    if some and some > bands:
+        links = links.unionByName(_bucket_links(ties, table, large, named, words_per_shingle, seed, similarity))
     wholes = connected_components(links)
     of = save(each.select("doc_id", "node").join(wholes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("whole")), "wholes")
     smallest = save(of.groupBy("whole").agg(F.min("doc_id").alias("component_id")), "smallest")
