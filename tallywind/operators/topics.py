@@ -147,3 +147,9 @@ def normed(df: DataFrame, keys: list[str], period: str, value: str, corpus: Data
 def sampled(key: Column, share: float, seed: int = 1) -> Column:
     """S-11, SNK-16: whether a key falls into a share of all keys, the same in every run and for every layout."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def outlier_share(df: DataFrame, cluster: str, outlier: int = -1) -> DataFrame:
+    """A-30: (topics, outlier_percent): the clusters, and the share of rows in none."""
+    none = F.col(cluster) == outlier
+    return df.agg(F.count_distinct(F.when(~none, F.col(cluster))).alias("topics"), (100 * F.count_if(none) / F.count(F.lit(1))).alias("outlier_percent"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywind.functions import language as L
 from tallywind.functions import text as T
-from tallywind.operators import frequency, topics
+from tallywind.operators import density, frequency, topics
 from tallywind.plans.catalogue import MONTH, TERMS, TOPICS, WORDS, documents, query, table, token_rows
 from tallywind.sources import feeds
 
@@ -166,3 +166,18 @@ def documents_with_phrases(spark, d):
     found, _ = frequency.learn_phrases(bodies(spark, d), "doc_id", "words", 2, 5, 10.0)
     joined = frequency.join_phrases(bodies(spark, d), "words", found)
     return joined.select("doc_id", F.size("words").cast("long").alias("n"), F.size(F.filter("words", lambda w: F.contains(w, F.lit("_")))).cast("long").alias("phrases"))
+
+
+# Clusters have no SQL; tests compare them with a version that cuts the complete graph from the top.
+def clustered(spark, d):
+    return density.density_clusters(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 5, 3, cosine=True)
+
+
+@query()
+def density_topics(spark, d):
+    return clustered(spark, d).select("vec_id", "cluster", F.round("strength", 6).alias("strength"))
+
+
+@query()
+def density_outliers(spark, d):
+    return topics.outlier_share(clustered(spark, d), "cluster").withColumn("outlier_percent", F.round("outlier_percent", 6))
