@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywind.functions import language as L
 from tallywind.functions import text as T
-from tallywind.operators import density, frequency, topics
+from tallywind.operators import density, frequency, networks, topics
 from tallywind.plans.catalogue import MONTH, TERMS, TOPICS, WORDS, documents, query, table, token_rows
 from tallywind.sources import feeds
 
@@ -181,3 +181,12 @@ def density_topics(spark, d):
 @query()
 def density_outliers(spark, d):
     return topics.outlier_share(clustered(spark, d), "cluster").withColumn("outlier_percent", F.round("outlier_percent", 6))
+
+
+# Tests compare a network's gradients with differences, and its steps with one task's.
+@query()
+def network_predictions(spark, d):
+    """Classes by a network that learns nothing from every fourth vector."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    net, _ = networks.train(rows, "embedding", "label", F.col("vec_id") % 4 == 0, rate=2e-3)
+    return networks.predict(rows, "embedding", net).select("vec_id", (F.col("vec_id") % 4 == 0).alias("held_out"), "prediction")
