@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywind.functions import language as L
 from tallywind.functions import text as T
-from tallywind.operators import density, frequency, networks, topics
+from tallywind.operators import density, frequency, networks, seeded, topics
 from tallywind.plans.catalogue import MONTH, TERMS, TOPICS, WORDS, documents, query, table, token_rows
 from tallywind.sources import feeds
 
@@ -190,3 +190,11 @@ def network_predictions(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     net, _ = networks.train(rows, "embedding", "label", F.col("vec_id") % 4 == 0, rate=2e-3)
     return networks.predict(rows, "embedding", net).select("vec_id", (F.col("vec_id") % 4 == 0).alias("held_out"), "prediction")
+
+
+# Tests compare layouts, and planted topics with their seeds.
+@query()
+def seeded_topics(spark, d):
+    seeds = spark.createDataFrame([("the", 0), ("and", 0), ("der", 1), ("und", 1), ("les", 2), ("une", 2), ("los", 3), ("del", 3)], "term string, topic int")
+    lam = seeded.seeded_topics(token_rows(spark, d).select("doc_id", "token"), "doc_id", "token", 4, seeds, 5)
+    return seeded.topic_terms(lam).withColumn("weight", F.round("weight", 6))
