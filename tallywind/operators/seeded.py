@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallywind.sources.shared import save
 
 #: Rows (document, term) of a block, on average.
-ROWS = 200_000
+ROWS = 20_000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
