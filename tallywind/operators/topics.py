@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywind.sources.shared import save
+
 
 def class_tfidf(tokens: DataFrame, group: str, token: str) -> DataFrame:
     """M-12: (group, token, n, weight): n * ln(1 + A / f), f a word's count in all groups, A the mean words of a group."""
@@ -72,25 +74,64 @@ def cluster_topics(df: DataFrame, vector: str, k: int, dimensions: int = 5, seed
     return clusters(components(df, vector, dimensions), "components", k, seed).drop("components")
 
 
-def latent_topics(weights: DataFrame, doc: str, term: str, weight: str, k: int, terms: int = 10) -> DataFrame:
+def _rotated(m):
+    """Arrays times a small matrix."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, m.shape[0]) @ m
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], [b.schema.names[0], "v"])
+
+    return run
+
+
+def latent_topics(weights: DataFrame, doc: str, term: str, weight: str, k: int, terms: int = 10, rounds: int = 8) -> DataFrame:
     """M-05 (LSI): (topic, singular, rank, term, loading) of a truncated singular value decomposition of the document by
-    term weights. The driver holds terms * k numbers and the term list, so the vocabulary is to be limited first (S-06).
+    term weights, by subspace iteration: k + 8 directions, with a value for each term, go through the weights and back, and are made
+    orthonormal by their products, of which the driver gets (k + 8)^2 numbers. Documents and terms stay tables, of any
+    size. With few terms the result is exact; else a topic's error falls with (the next singular value / its own)^(2 rounds).
     The sign of a topic is such that its largest loading is positive."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    import numpy as np
 
     spark = weights.sparkSession
-    names = [r[0] for r in weights.select(term).distinct().orderBy(term).collect()]
-    ids = spark.createDataFrame(list(enumerate(names)), f"_i int, `{term}` string")
-    rows = weights.join(F.broadcast(ids), term).groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_i", F.col(weight).cast("double"))))).alias("m"))
-    width = len(names)
-    found = RowMatrix(rows.select("m").rdd.map(lambda r: Vectors.sparse(width, r.m)), 0, width).computeSVD(k)
-    load, out = found.V.toArray(), []
-    for j, s in enumerate(found.s.toArray()):
-        v = load[:, j] * (1 if abs(load[:, j].max()) >= abs(load[:, j].min()) else -1)
-        best = sorted(range(width), key=lambda i: (-abs(v[i]), names[i]))[:terms]
-        out += [(j, float(s), r, names[i], float(v[i])) for r, i in enumerate(best)]
-    return spark.createDataFrame(out, "topic int, singular double, rank int, term string, loading double")
+    rows = save(weights.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(weight).cast("double").alias("w")).where("d is not null and t is not null and w is not null"), "latent-rows")
+    names = rows.select("t").distinct()
+    width = names.count()
+    r = min(k + 8, width)
+    schema = "topic int, singular double, rank int, term string, loading double"
+    if not r:
+        return spark.createDataFrame([], schema)
+
+    def through(table: DataFrame, on: str, to: str) -> DataFrame:
+        size = len(table.first().v)
+        return save(rows.join(table, on).groupBy(to).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(size))).alias("v")), "latent")
+
+    def products(table: DataFrame) -> np.ndarray:
+        size = len(table.first().v)
+        found = table.agg(F.array(*(F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(size) for j in range(size))).alias("g")).first().g
+        return np.array(found).reshape(size, size)
+
+    def turned(table: DataFrame, m: np.ndarray) -> DataFrame:
+        return save(table.mapInArrow(_rotated(m), table.schema), "latent")
+
+    def orthonormal(table: DataFrame) -> DataFrame:
+        value, vector = np.linalg.eigh(products(table))
+        keep = value > 1e-13 * value.max()
+        return turned(table, vector[:, keep] / np.sqrt(value[keep]))
+
+    x = orthonormal(save(names.select("t", F.array(*((F.pmod(F.xxhash64("t", F.lit(i)), F.lit(1 << 20)) / (1 << 19) - 1) for i in range(r))).alias("v")), "latent"))
+    for _ in range(rounds if r < width else 1):
+        x = orthonormal(through(orthonormal(through(x, "t", "d")), "d", "t"))
+    value, vector = np.linalg.eigh(products(through(x, "t", "d")))
+    best = np.argsort(-value)[:k]
+    told = turned(x, vector[:, best]).select(F.col("t").alias("term"), F.posexplode("v").alias("topic", "loading"))
+    ends = told.groupBy("topic").agg(F.max("loading").alias("high"), F.min("loading").alias("low"))  # a row a topic
+    singular = spark.createDataFrame([(i, float(np.sqrt(max(value[b], 0.0)))) for i, b in enumerate(best)], "topic int, singular double")
+    signed = told.join(ends, "topic").join(singular, "topic").withColumn("loading", F.when(F.abs("high") >= F.abs("low"), F.col("loading")).otherwise(-F.col("loading")))
+    order = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.abs("loading")), "term"))
+    return signed.withColumn("rank", order - 1).where(F.col("rank") < terms).select("topic", "singular", "rank", F.col("term").cast("string").alias("term"), "loading")
 
 
 def panel_cv(df: DataFrame, entity: str, vector: str, label: str, k: int = 5, estimator=None) -> DataFrame:

@@ -89,7 +89,7 @@ def topic_clusters(spark, d):
 @query()
 def latent_topics(spark, d):
     rows = frequency.tfidf(token_rows(spark, d), "doc_id", "token")
-    words = frequency.doc_frequency(token_rows(spark, d), "doc_id", "token", 20, 0.5, 2000)
+    words = frequency.doc_frequency(token_rows(spark, d), "doc_id", "token", 20, 0.5, 500_000)
     return topics.latent_topics(rows.join(words.select("token"), "token", "left_semi"), "doc_id", "token", "tfidf", 5)
 
 

@@ -100,3 +100,16 @@ def test_panel_predictions_and_grid(spark):
     assert [r.params for r in grid] == ['{"elasticNetParam": 1.0, "regParam": 0.0}', '{"elasticNetParam": 1.0, "regParam": 100.0}'] and grid[0].accuracy > 0.85 > grid[1].accuracy
     scored = topics.accuracy(spark.createDataFrame([(1, 1.0), (0, 1.0)], "y int, prediction double"), "y", "prediction").first()
     assert (scored.n, scored.accuracy) == (2, 0.5)
+
+
+def test_latent_topics_of_many_terms(spark):
+    g = np.random.default_rng(7)
+    m = np.round(g.normal(size=(60, 4)) @ np.diag([30, 20, 12, 8]) @ g.normal(size=(4, 40)) + g.normal(size=(60, 40)) / 10, 3)
+    rows = spark.createDataFrame([(d, f"w{t}", float(m[d, t])) for d in range(60) for t in range(40)] + [(None, "w1", 1.0), (1, None, 1.0), (1, "w1", None)], "doc int, term string, w double")
+    got = topics.latent_topics(rows, "doc", "term", "w", 3, 5).collect()
+    _, s, v = np.linalg.svd(m)
+    for j in range(3):
+        mine = {r.rank: r for r in got if r.topic == j}
+        best = sorted(range(40), key=lambda t: -abs(v[j, t]))[:5]
+        assert [mine[i].term for i in range(5)] == [f"w{t}" for t in best] and abs(mine[0].singular - s[j]) < 1e-6 * s[0] and mine[0].loading > 0
+    assert topics.latent_topics(rows.where("false"), "doc", "term", "w", 3).count() == 0
