@@ -91,7 +91,8 @@ def latent_topics(weights: DataFrame, doc: str, term: str, weight: str, k: int,
     """M-05 (LSI): (topic, singular, rank, term, loading) of a truncated singular value decomposition of the document by
     term weights, by subspace iteration: k + 8 directions, with a value for each term, go through the weights and back, and are made
     orthonormal by their products, of which the driver gets (k + 8)^2 numbers. Documents and terms stay tables, of any
-    size. With few terms the result is exact; else a topic's error falls with (the next singular value / its own)^(2 rounds).
+    size. With few terms the result is exact; else a topic's error falls with (the k + 9th singular value / its own)^(2 rounds),
+    and rounds end where the topics' singular values stay, after `rounds` at most.
     The sign of a topic is such that its largest loading is positive."""
     import numpy as np
 
@@ -104,27 +105,28 @@ def latent_topics(weights: DataFrame, doc: str, term: str, weight: str, k: int,
     if not r:
         return spark.createDataFrame([], schema)
 
-    def through(table: DataFrame, on: str, to: str) -> DataFrame:
-        size = len(table.first().v)
+    def through(table: DataFrame, size: int, on: str, to: str) -> DataFrame:
         return save(rows.join(table, on).groupBy(to).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(size))).alias("v")), "latent")
 
-    def products(table: DataFrame) -> np.ndarray:
-        size = len(table.first().v)
+    def products(table: DataFrame, size: int) -> np.ndarray:
         found = table.agg(F.array(*(F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(size) for j in range(size))).alias("g")).first().g
         return np.array(found).reshape(size, size)
 
     def turned(table: DataFrame, m: np.ndarray) -> DataFrame:
         return save(table.mapInArrow(_rotated(m), table.schema), "latent")
 
-    def orthonormal(table: DataFrame) -> DataFrame:
-        value, vector = np.linalg.eigh(products(table))
+    def orthonormal(table: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+        value, vector = np.linalg.eigh(products(table, size))
         keep = value > 1e-13 * value.max()
-        return turned(table, vector[:, keep] / np.sqrt(value[keep]))
+        return turned(table, vector[:, keep] / np.sqrt(value[keep])), value[keep][::-1]
 
-    x = orthonormal(save(names.select("t", F.array(*((F.pmod(F.xxhash64("t", F.lit(i)), F.lit(1 << 20)) / (1 << 19) - 1) for i in range(r))).alias("v")), "latent"))
+    x, value = orthonormal(save(names.select("t", F.array(*((F.pmod(F.xxhash64("t", F.lit(i)), F.lit(1 << 20)) / (1 << 19) - 1) for i in range(r))).alias("v")), "latent"), r)
     for _ in range(rounds if r < width else 1):
-        x = orthonormal(through(orthonormal(through(x, "t", "d")), "d", "t"))
-    value, vector = np.linalg.eigh(products(through(x, "t", "d")))
+        before = value[:k]
+        x, value = orthonormal(through(through(x, len(value), "t", "d"), len(value), "d", "t"), len(value))
+        if len(before) == len(value[:k]) and np.allclose(before, value[:k], rtol=1e-6):
+            break
+    value, vector = np.linalg.eigh(products(through(x, len(value), "t", "d"), len(value)))
     best = np.argsort(-value)[:k]
     told = turned(x, vector[:, best]).select(F.col("t").alias("term"), F.posexplode("v").alias("topic", "loading"))
     ends = told.groupBy("topic").agg(F.max("loading").alias("high"), F.min("loading").alias("low"))  # a row a topic
