@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywind.functions import language as L
 from tallywind.functions import text as T
-from tallywind.operators import density, frequency, networks, seeded, topics
+from tallywind.operators import density, frequency, networks, seeded, subwords, topics
 from tallywind.plans.catalogue import MONTH, TERMS, TOPICS, WORDS, documents, query, table, token_rows
 from tallywind.sources import feeds
 
@@ -198,3 +198,13 @@ def seeded_topics(spark, d):
     seeds = spark.createDataFrame([("the", 0), ("and", 0), ("der", 1), ("und", 1), ("les", 2), ("une", 2), ("los", 3), ("del", 3)], "term string, topic int")
     lam = seeded.seeded_topics(token_rows(spark, d).select("doc_id", "token"), "doc_id", "token", 4, seeds, 5)
     return seeded.topic_terms(lam).withColumn("weight", F.round("weight", 6))
+
+
+# Gradients are tested against differences, draws by their shares, and planted words of two fields by their scores.
+@query()
+def subword_vectors(spark, d):
+    """Vectors of all words, the rarer ones than the trained by their n-grams."""
+    docs = bodies(spark, d)
+    model = subwords.train(docs, "doc_id", "words", size=32, least=20, passes=2, buckets=200_000)
+    found = subwords.vectors_of(model, docs.select(F.explode("words").alias("word")), "word", size=32, buckets=200_000)
+    return found.withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
