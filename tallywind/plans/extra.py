@@ -8,7 +8,8 @@ from tallywind.functions import language as L
 from tallywind.functions import text as T
 from tallywind.operators import density, frequency, networks, seeded, subwords, topics
 from tallywind.plans.catalogue import MONTH, TERMS, TOPICS, WORDS, documents, query, table, token_rows
-from tallywind.sources import feeds
+from tallywind.sources import feeds, shared
+from tallywind.sources.avro import Avro
 
 LEMMAS = {"was": "be", "are": "be", "is": "be", "has": "have", "had": "have", "fue": "ser", "war": "sein"}
 LEXICON = {"the": 0.4, "with": 1.9, "than": -2.2, "der": -1.5, "les": 2.3, "los": 0.7, "which": -0.9}
@@ -208,3 +209,13 @@ def subword_vectors(spark, d):
     model = subwords.train(docs, "doc_id", "words", size=32, least=20, passes=2, buckets=200_000)
     found = subwords.vectors_of(model, docs.select(F.explode("words").alias("word")), "word", size=32, buckets=200_000)
     return found.withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
+
+
+@query("SELECT doc_id, lang, source, n_chars, CAST(length(text) AS BIGINT) AS letters, md5(text) AS digest FROM documents")
+def avro_documents(spark, d):
+    """All documents by way of Avro files, which are read by ranges of 4 MB."""
+    spark.dataSource.register(Avro)
+    path = shared.new_folder(spark, "avro")
+    table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").write.format("tallywind_avro").mode("append").save(path)
+    read = spark.read.format("tallywind_avro").option("rangebytes", 4 << 20).load(path)
+    return read.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("letters"), F.md5(F.col("text").cast("binary")).alias("digest"))
