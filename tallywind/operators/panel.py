@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywind.sources.shared import numbered
+
 
 def folds(df: DataFrame, entity: str, k: int) -> DataFrame:
     """S-12: contiguous chunks of the sorted entities; chunk i ends before row round(n / k * i)."""
     ids = df.select(entity).distinct()
-    ranked = ids.withColumn("pos", F.row_number().over(Window.orderBy(entity)) - 1).crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n"))))
+    ranked = numbered(ids, entity).withColumnRenamed("number", "pos").crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n"))))
     fold = sum(((F.col("pos") >= F.floor(F.col("n") * i / k + 0.5)).cast("int") for i in range(1, k)), start=F.lit(0))
     return ranked.select(entity, fold.alias("fold"))
 
 
 def encode_labels(df: DataFrame, column: str) -> DataFrame:
     """PRJ-17: (value, id) in ascending order of the value."""
-    return df.select(column).distinct().withColumn("label_id", F.dense_rank().over(Window.orderBy(column)) - 1)
+    return numbered(df, column).select(column, F.col("number").cast("int").alias("label_id"))
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

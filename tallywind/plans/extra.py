@@ -8,7 +8,7 @@ from tallywind.functions import language as L
 from tallywind.functions import text as T
 from tallywind.operators import density, frequency, networks, seeded, subwords, topics
 from tallywind.plans.catalogue import MONTH, TERMS, TOPICS, WORDS, documents, query, table, token_rows
-from tallywind.sources import feeds, shared
+from tallywind.sources import feeds, matrices, shared
 from tallywind.sources.avro import Avro
 
 LEMMAS = {"was": "be", "are": "be", "is": "be", "has": "have", "had": "have", "fue": "ser", "war": "sein"}
@@ -219,3 +219,14 @@ def avro_documents(spark, d):
     table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").write.format("tallywind_avro").mode("append").save(path)
     read = spark.read.format("tallywind_avro").option("rangebytes", 4 << 20).load(path)
     return read.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("letters"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {TERMS} SELECT doc_id, token, CAST(count(*) AS DOUBLE) AS n, count(*) OVER (PARTITION BY token) AS df FROM t GROUP BY doc_id, token")
+def matrix_market_bag(spark, d):
+    """All documents' counts by way of a Matrix Market corpus and its dictionary."""
+    path = shared.new_folder(spark, "matrix")
+    docs, _ = matrices.write_bag(token_rows(spark, d), "doc_id", "token", path)
+    entries, _ = matrices.read_matrix(spark, f"{path}/corpus")
+    terms, _ = matrices.read_dictionary(spark, f"{path}/dictionary")
+    rows = entries.join(docs.select(F.col("number").alias("row"), F.col("doc").alias("doc_id")), "row")
+    return rows.join(terms.withColumn("column", F.col("id") + 1), "column").select("doc_id", "token", F.col("value").alias("n"), "df")

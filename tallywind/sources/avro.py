@@ -8,7 +8,6 @@
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
 import zlib
@@ -20,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampType
 
+from tallywind.sources.shared import place
+
 # Fixed values of the format.
 MAGIC = b"Obj\x01"
 PLAIN = {"null": StringType(), "boolean": BooleanType(), "int": IntegerType(), "long": LongType(), "float": FloatType(), "double": DoubleType(), "bytes": BinaryType(), "string": StringType(), "enum": StringType(), "fixed": BinaryType()}
@@ -28,10 +29,6 @@ LOGICAL = {("int", "date"): DateType(), ("long", "timestamp-micros"): TimestampT
 RANGE, BATCH, BLOCK = 64 << 20, 2000, 64 << 10
 
 
-def place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
-
-
 class Cursor:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,3 +37,19 @@ def save(df: DataFrame, label: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """A path's file system and what it is called there."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def numbered(df: DataFrame, key: str, first: int = 0) -> DataFrame:
+    """(key, number): the distinct values in ascending order, nulls first, numbered without gaps. Ranges are sorted apart;
+    only a count a range, of as many as there are shuffle partitions, goes through one task."""
+    at = F.monotonically_increasing_id()
+    ranges = df.select(F.col(key).alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key")
+    rows = save(ranges.select("key", at.alias("at")).select("key", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row")), "numbered")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return rows.join(before, F.col("part") == F.col("of")).select(F.col("key").alias(key), (F.col("before") + F.col("row") + first).alias("number"))
