@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywind.functions import identify, tables
 from tallywind.functions import language as L
 from tallywind.functions import text as T
 from tallywind.operators import density, frequency, networks, seeded, subwords, topics
@@ -230,3 +231,29 @@ def matrix_market_bag(spark, d):
     terms, _ = matrices.read_dictionary(spark, f"{path}/dictionary")
     rows = entries.join(docs.select(F.col("number").alias("row"), F.col("doc").alias("doc_id")), "row")
     return rows.join(terms.withColumn("column", F.col("id") + 1), "column").select("doc_id", "token", F.col("value").alias("n"), "df")
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(len({SENTENCES}))) AS INTEGER) AS position, unnest({SENTENCES}) AS sentence FROM documents")
+def sentence_rows(spark, d):
+    """A document to its sentences by a table function called from SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM text_units(TABLE(SELECT doc_id, text FROM {docs}), 'sentence')", docs=table(spark, d, "documents"))
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 21600000000, false) AS fresh FROM events WHERE ts IS NOT NULL),
+ s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY us) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, min(us) AS "first", max(us) AS "last", count(*) AS n FROM s GROUP BY user_id, session""")
+def user_sessions(spark, d):
+    """Runs of a user's events no more than six hours apart, by a table function with a partition for each user."""
+    tables.register(spark)
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    return spark.sql("SELECT * FROM sessions(TABLE(SELECT user_id, at FROM {log}) PARTITION BY user_id ORDER BY (at), 21600000000)", log=table(spark, d, "events").select("user_id", at))
+
+
+# Languages are tested against a brute-force version and by held-out accuracy.
+@query()
+def languages_by_grams(spark, d):
+    """The language of all documents, by profiles learnt from three quarters of their labels."""
+    rows = table(spark, d, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    profiles, languages = identify.learn(rows.where(~held), "text", "lang")
+    return identify.identify(rows, "doc_id", "text", profiles, languages).join(rows.select("doc_id", held.alias("held_out")), "doc_id")
