@@ -118,7 +118,7 @@ def lemmas(words: Column, table: dict[str, str]) -> Column:
 
 def sentences(text: Column) -> Column:
     """F-08: parts that end in `.`, `!` or `?` before white space, or at the end; blank ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentiment(text: Column, lexicon: dict[str, float]) -> Column:
@@ -134,3 +134,73 @@ def paragraph_text(paragraphs: Column) -> Column:
     """F-31: the pieces (Value, Name) of paragraphs as one text, names in `<<` `>>`; a missing body stays null."""
     piece = lambda p: F.coalesce(p.Value, F.concat(F.lit("<<"), p.Name, F.lit(">>")))
     return F.array_join(F.transform(F.flatten(paragraphs), piece), " ")
+
+
+# Fixed values of the published sentiment rules (Hutto and Gilbert 2014): words that deny, strengthen and weaken, and weights.
+NEGATIONS = ["aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "dont", "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt", "neither", "neednt", "never", "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "wasnt", "werent", "without", "wont", "wouldnt", "rarely", "seldom", "despite"]
+STRONGER = ["absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply", "enormously", "entirely", "especially", "exceptionally", "extremely", "fabulously", "fully", "greatly", "highly", "hugely", "incredibly", "intensely", "majorly", "more", "most", "particularly", "purely", "quite", "really", "remarkably", "so", "substantially", "thoroughly", "totally", "tremendously", "unbelievably", "unusually", "utterly", "very"]
+WEAKER = ["almost", "barely", "hardly", "kinda", "less", "little", "marginally", "occasionally", "partly", "scarcely", "slightly", "somewhat", "sorta"]
+DEGREE, CAPITALS, DENIED, NEVER_SO, FADE = 0.293, 0.733, -0.74, 1.25, (1.0, 0.95, 0.9)
+BEFORE_BUT, AFTER_BUT, EXCLAIM, ASK, ASK_MUCH = 0.5, 1.5, 0.292, 0.18, 0.96
+PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+
+
+def _let(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def _valences(info: Column, shouted: Column) -> Column:
+    """Each token's valence after the three tokens before it; info: (word, upper, known, base, degree, deny) by token."""
+    def one(t: Column, i: Column) -> Column:
+        last = [F.get(info, i - k) for k in (1, 2, 3)]
+        so = [p.word.isin("so", "this") for p in last]
+        doubt = [p.word == "doubt" for p in last]
+        denies = [
+            F.when(last[0].deny, DENIED).otherwise(1.0),
+            F.when((last[1].word == "never") & so[0], NEVER_SO).when((last[1].word == "without") & doubt[0], 1.0).when(last[1].deny, DENIED).otherwise(1.0),
+            F.when((last[2].word == "never") & (so[1] | so[0]), NEVER_SO).when((last[2].word == "without") & (doubt[1] | doubt[0]), 1.0).when(last[2].deny, DENIED).otherwise(1.0),
+        ]
+
+        def look(k: int):
+            def step(v: Column) -> Column:
+                p = last[k]
+                scalar = F.when(p.degree == 0, 0.0).otherwise(p.degree * F.when(v < 0, -1.0).otherwise(1.0) + F.when(p.upper & shouted, F.when(v > 0, CAPITALS).otherwise(-CAPITALS)).otherwise(0.0))
+                new = F.when(p.isNotNull() & ~p.known, (v + scalar * FADE[k]) * denies[k]).otherwise(v)
+                return _let(new, look(k + 1)) if k < 2 else new
+
+            return step
+
+        loud = F.when(t.upper & shouted, F.when(t.base > 0, CAPITALS).otherwise(-CAPITALS)).otherwise(0.0)
+        least = F.when((last[0].word == "least") & ~last[0].known & ~F.coalesce(last[1].word.isin("at", "very"), F.lit(False)), DENIED).otherwise(1.0)
+        return F.when(t.known & (t.degree == 0), _let(t.base + loud, look(0)) * least).otherwise(0.0)
+
+    return F.transform(info, one)
+
+
+def ruled_sentiment(text: Column, lexicon: dict[str, float], stronger: list[str] = STRONGER, weaker: list[str] = WEAKER, negations: list[str] = NEGATIONS) -> Column:
+    """A-21: the mean over sentences of s / sqrt(s * s + 15), s the sum of a sentence's valences by the published rules: words
+    of degree and denial among the three tokens before, capitals where not all are, `but`, `least`, marks of exclamation
+    and question; null without any sentence. The lexicon (lower-case word to valence) is the caller's: a literal that is
+    searched once for each token, so some hundreds of words. Idioms, emoticons and `kind of` have no rule."""
+    weights = F.create_map(*(F.lit(x) for w, v in lexicon.items() for x in (w, float(v)))) if lexicon else F.lit(None).cast("map<string,double>")
+
+    def describe(raw: Column) -> Column:
+        bare = F.regexp_replace(raw, f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")
+        return _let(F.when(F.length(bare) <= 2, raw).otherwise(bare), lambda t: _let(F.struct(t.alias("token"), F.lower(t).alias("word")), lambda w: F.struct(
+            w.word.alias("word"), ((w.token == F.upper(w.token)) & (w.token != w.word)).alias("upper"), F.try_element_at(weights, w.word).isNotNull().alias("known"), F.coalesce(F.try_element_at(weights, w.word), F.lit(0.0)).alias("base"),
+            F.when(w.word.isin(*stronger), DEGREE).when(w.word.isin(*weaker), -DEGREE).otherwise(0.0).alias("degree"), (w.word.isin(*negations) | w.word.contains("n't")).alias("deny"))))
+
+    def score(sentence: Column) -> Column:
+        exclaims, asks = (F.length(sentence) - F.length(F.replace(sentence, F.lit(c), F.lit(""))) for c in "!?")
+        marks = F.least(exclaims, F.lit(4)) * EXCLAIM + F.when(asks > 3, ASK_MUCH).when(asks > 1, asks * ASK).otherwise(0.0)
+
+        def total(info: Column) -> Column:
+            shouts = F.size(F.filter(info, lambda x: x.upper))
+            but = F.array_position(F.transform(info, lambda x: x.word), "but")
+            each = F.transform(_valences(info, (shouts > 0) & (shouts < F.size(info))), lambda v, i: v * F.when((but == 0) | (i + 1 == but), 1.0).when(i + 1 < but, BEFORE_BUT).otherwise(AFTER_BUT))
+            return F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+
+        tokens = F.filter(F.split(sentence, r"\s+"), lambda x: x != "")
+        return _let(_let(F.transform(tokens, describe), total), lambda s: _let(s + F.signum(s) * marks, lambda v: v / F.sqrt(v * v + 15)))
+
+    return _let(F.transform(sentences(text), score), lambda scores: F.try_divide(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x), F.size(scores)))

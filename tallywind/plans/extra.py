@@ -257,3 +257,9 @@ def languages_by_grams(spark, d):
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     profiles, languages = identify.learn(rows.where(~held), "text", "lang")
     return identify.identify(rows, "doc_id", "text", profiles, languages).join(rows.select("doc_id", held.alias("held_out")), "doc_id")
+
+
+# The rules are tested against a scan by hand.
+@query()
+def ruled_sentiment(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(L.ruled_sentiment(F.col("text"), LEXICON), 6).alias("score"))
