@@ -46,3 +46,12 @@ def label_period(df: DataFrame, crises: DataFrame, day: str, years_before: int =
     c = F.broadcast(crises)
     inside = F.col(day).between(F.col("start"), F.col("peak")) if not years_before else F.col(day).between(F.add_months("start", -12 * years_before), F.col("start"))
     return df.join(c, inside)
+
+
+def mark_months(df: DataFrame, crises: DataFrame, payments: DataFrame) -> DataFrame:
+    """J-07, Q-09: df(country, period, ...) with crisis_window and bop_crisis, 1 in the months of a crisis, else 0, also for
+    countries that no dimension has, and for a null country or period. crises(country, start, peak) and payments(country, period) are
+    dimensions written by hand; a month listed twice marks once."""
+    on = ["country", "period"]
+    marked = df.join(crisis_months(crises).withColumn("_window", F.lit(1)), on, "left").join(payments.select(*on).distinct().withColumn("_payments", F.lit(1)), on, "left")
+    return marked.select(*df.columns, F.coalesce("_window", F.lit(0)).alias("crisis_window"), F.coalesce("_payments", F.lit(0)).alias("bop_crisis"))

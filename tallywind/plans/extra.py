@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywind.functions import identify, tables
+from tallywind.functions import dimensions, identify, tables
 from tallywind.functions import language as L
 from tallywind.functions import text as T
-from tallywind.operators import density, frequency, networks, seeded, subwords, topics
-from tallywind.plans.catalogue import MONTH, TERMS, TOPICS, WORDS, documents, query, table, token_rows
-from tallywind.sources import feeds, matrices, shared
+from tallywind.operators import density, evaluate, frequency, networks, seeded, series, subwords, topics
+from tallywind.plans.catalogue import MONTH, MONTHLY, TERMS, TOPICS, UP, WORDS, documents, monthly, query, scores_sql, table, token_rows, z_sql
+from tallywind.sources import feeds, matrices, shared, stored
 from tallywind.sources.avro import Avro
 
 LEMMAS = {"was": "be", "are": "be", "is": "be", "has": "have", "had": "have", "fue": "ser", "war": "sein"}
@@ -263,3 +263,52 @@ def languages_by_grams(spark, d):
 @query()
 def ruled_sentiment(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(L.ruled_sentiment(F.col("text"), LEXICON), 6).alias("score"))
+
+
+DIMS = dimensions.countries()
+NAMED = "n AS (SELECT * FROM (VALUES " + ", ".join(f"('NATION_{i}', '{c[0]}')" for i, c in enumerate(DIMS)) + ") v(nation, country))"
+FIXED = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', {i}, DATE '{s}', DATE '{p}')" for c in DIMS for i, (s, p) in enumerate(zip(c[2], c[3], strict=True), 1)) + ") v(country, seq, start, peak))"
+PAYMENTS = "b AS (SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', DATE '{m}')" for c in DIMS for m in c[4]) + ") v(country, period))"
+# The tables' nations, which have numbers, stand for the dimension's countries in turn; the last five for none. Months lie 12 years before the orders'.
+STAND_FOR = f"{MONTHLY}, {NAMED}, q AS (SELECT coalesce(n.country, lower(m.country)) AS country, CAST(period - INTERVAL 12 YEAR AS DATE) AS period, m.n FROM m LEFT JOIN n ON nation = m.country)"
+
+
+def countries_monthly(spark, d):
+    names = spark.createDataFrame([(f"NATION_{i}", c[0]) for i, c in enumerate(DIMS)], "nation string, name string")
+    m = monthly(spark, d).join(F.broadcast(names), F.col("country") == F.col("nation"), "left")  # 20 names
+    return m.select(F.coalesce("name", F.lower("country")).alias("country"), F.add_months("period", -144).alias("period"), "n")
+
+
+@query(f"WITH {STAND_FOR}, {FIXED}, {PAYMENTS}, {z_sql('q', 'country', 'period', 'n', 24)} SELECT country, period, n, {UP} AS pred, CAST(EXISTS (SELECT 1 FROM c WHERE c.country = z.country AND z.period BETWEEN start AND peak) AS INTEGER) AS crisis_window, CAST(EXISTS (SELECT 1 FROM b WHERE b.country = z.country AND b.period = z.period) AS INTEGER) AS bop_crisis FROM z")
+def export_with_crises(spark, d):
+    """A series with its spikes and both kinds of crisis months of the fixed dimensions."""
+    z = series.spikes(series.rolling_z(countries_monthly(spark, d), ["country"], "period", "n")).select("country", "period", "n", "pred")
+    return evaluate.mark_months(z, dimensions.crises(spark), dimensions.payment_crises(spark))
+
+
+@query(f"WITH {STAND_FOR}, {FIXED}, {z_sql('q', 'country', 'period', 'n', 24)}, s AS (SELECT country, period FROM z WHERE {UP} = 1), {scores_sql('s')}")
+def scores_of_fixed_crises(spark, d):
+    """Early warnings of the fixed dimensions' crises; spikes of countries without any crisis are false."""
+    spikes = series.spikes(series.rolling_z(countries_monthly(spark, d), ["country"], "period", "n")).where("pred = 1").select("country", "period")
+    return evaluate.score(evaluate.outcomes(spikes, dimensions.crises(spark), []), [])
+
+
+@query("WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('NATION_{i}', '{c[1]}')" for i, c in enumerate(DIMS)) + ") v(nation, region)) SELECT region, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN r ON nation = n_name GROUP BY region")
+def customers_by_region_code(spark, d):
+    codes = dimensions.regions(spark).join(F.broadcast(spark.createDataFrame([(f"NATION_{i}", c[0]) for i, c in enumerate(DIMS)], "n_name string, country string")), "country").select("n_name", "region")
+    keyed = table(spark, d, "nation").join(codes, "n_name", "left").select("n_nationkey", "region")
+    by = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("b"))
+    return by.join(keyed, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("region").agg(F.sum("n").alias("customers"), F.round(F.sum("b"), 2).alias("balance"))
+
+
+@query(f"""WITH {TERMS}, f AS (SELECT token, count(DISTINCT doc_id) AS df FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM documents), i AS (SELECT item_id, unnest({WORDS}) AS token FROM benchmark)
+ SELECT item_id, token, count(*) AS tf, any_value(coalesce(df, 0)) AS df, round(count(*) * ln(((SELECT n FROM n) + 1) / (any_value(coalesce(df, 0)) + 1)), 6) AS weight FROM i LEFT JOIN f USING (token) GROUP BY item_id, token""")
+def items_by_stored_frequencies(spark, d):
+    """Benchmark items weighed by the documents' frequencies, which are fitted, stored and loaded."""
+    docs, path = table(spark, d, "documents"), shared.new_folder(spark, "stored")
+    df = token_rows(spark, d).select("doc_id", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    stored.keep(path, {"documents": docs.count()}, {"frequencies": df})
+    model = stored.load(spark, path)
+    items = table(spark, d, "benchmark").select("item_id", F.explode(T.words(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    both = items.join(model.tables["frequencies"], "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    return both.select("item_id", "token", "tf", "df", F.round(F.col("tf") * F.log((F.lit(model.settings["documents"]) + 1) / (F.col("df") + 1)), 6).alias("weight"))
