@@ -13,7 +13,14 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD = r"[a-zà-öø-ÿ]+"
 #: White space as Unicode has it, in the syntax that Java's and RE2's patterns share.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-STOP_WORDS = ["the", "and", "of", "to", "in", "a", "is", "that", "for", "it", "on", "with", "as", "was", "are", "be", "by", "this", "from", "at", "or", "an"]
+# The usual list of English stop words, in its usual order.
+STOP_WORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself they them their theirs themselves
+what which who whom this that that'll these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no
+nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't
+isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+""".split()
 
 
 def squeeze(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywind.functions.text import keyword_pattern, words
+from tallywind.sources.shared import save
 
 
 def entity_tags(text: Column, aliases: dict[str, list[str]], mode: str = "regex", plural: bool = True) -> Column:
@@ -66,7 +67,25 @@ def keep_longest(df: DataFrame, key: str, text: str, then: str) -> DataFrame:
     return df.join(best, then, "left_semi")
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row, q0 and so on: exact quantiles of a column's non-null numbers, between two of them in proportion; null without
+    any. Distinct values are counted and put into ranges, whose counts (one for each shuffle partition) tell which hold
+    the ranks that are wanted; no task sees all values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = save(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part")), "quantiles")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
+    whole = rows.agg(F.sum("n").alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = rows.join(F.broadcast(before), "part").withColumn("upto", upto).crossJoin(F.broadcast(whole))  # a row a partition, one row
+    at = [(F.col("total") - 1) * p for p in shares]
+    value = lambda i: F.max(F.when((i >= F.col("upto") - F.col("n")) & (i < F.col("upto")), F.col("v")))
+    found = ranked.agg(F.first("total").alias("total"), *(value(f(x)).alias(f"{f.__name__}{k}") for k, x in enumerate(at) for f in (F.floor, F.ceil)))
+    between = [F.when(F.col(f"floor{k}") == F.col(f"ceil{k}"), F.col(f"floor{k}")).otherwise((F.ceil(x) - x) * F.col(f"floor{k}") + (x - F.floor(x)) * F.col(f"ceil{k}")).alias(f"q{k}") for k, x in enumerate(at)]
+    return found.select(*between)
+
+
 def quantile_band(df: DataFrame, column: str, low: float = 0.03, high: float = 0.95) -> DataFrame:
-    """FLT-12, A-22: rows strictly between two exact quantiles."""
-    ends = df.agg(F.percentile(column, F.lit(low)).alias("q_low"), F.percentile(column, F.lit(high)).alias("q_high"))  # one row
-    return df.crossJoin(F.broadcast(ends)).where((F.col(column) > F.col("q_low")) & (F.col(column) < F.col("q_high"))).drop("q_low", "q_high")
+    """FLT-12, A-22: rows strictly between two exact quantiles; extra columns stay, rows with a null go."""
+    ends = quantiles(df, column, [low, high]).select(F.col("q0").alias("_q_low"), F.col("q1").alias("_q_high"))  # one row
+    return df.crossJoin(F.broadcast(ends)).where((F.col(column) > F.col("_q_low")) & (F.col(column) < F.col("_q_high"))).drop("_q_low", "_q_high")

@@ -274,7 +274,7 @@ def first_50_words(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_words(F.col("text")).alias("snippet"))
 
 
-STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
+STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS) + ")"
 SPACED = f"list_filter(string_split(regexp_replace(text, '{T.SPACE}', ' ', 'g'), ' '), lambda t: t <> '')"
 
 

@@ -56,3 +56,20 @@ def test_fixed_dimensions(spark):
     assert got.columns == ["country", "period", "n", "crisis_window", "bop_crisis"]
     assert sorted((str(r.country), str(r.period), r.crisis_window, r.bop_crisis) for r in got.collect()) == sorted([
         ("mexico", "1992-09-01", 0, 0), ("mexico", "1992-10-01", 1, 0), ("mexico", "1992-10-01", 1, 0), ("mexico", "1994-12-01", 1, 1), ("mexico", "1996-04-01", 0, 0), ("nowhere", "1994-12-01", 0, 0), ("None", "1994-12-01", 0, 0), ("mexico", "None", 0, 0)])
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from tallywind.operators import search
+
+    rng = np.random.default_rng(5)
+    values = [float(x) for x in np.round(rng.normal(size=2001), 1)] + [7.25]
+    df = spark.createDataFrame([(v, "x") for v in values] + [(None, "y")], "v double, n string").repartition(5)
+    shares = [0.0, 0.03, 0.333, 0.5, 0.95, 1.0]
+    assert np.allclose(list(search.quantiles(df, "v", shares).first()), np.quantile(values, shares))
+    assert list(search.quantiles(df.where("v is null"), "v", [0.5]).first()) == [None]
+    assert list(search.quantiles(df.where("v = 7.25"), "v", [0.5]).first()) == [7.25]
+    low, high = np.quantile(values, [0.03, 0.95])
+    got = search.quantile_band(df, "v")
+    assert got.columns == ["v", "n"] and sorted(r.v for r in got.collect()) == sorted(v for v in values if low < v < high)
