@@ -107,7 +107,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014). Each step is an aggregate and an
     equi-join on narrow rows, their results are written to the shared folder, and only its row count
-    and a hash of its rows come to the driver. A hub's minimum is pre-aggregated and its join can be split.
+    and a hash of its rows come to the driver. A hub's minimum is pre-aggregated and its join can be split. Joins merge: none sends rows to the driver to be broadcast.
     Raises if the components still change in the last round: none are returned that may be wrong.
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
@@ -116,9 +116,9 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         # Written: a join with a hub's rows can then be split, which it couldn't within the stage of the aggregate.
         least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").hint("merge").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(root, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("x"), "m"), F.struct(F.col("lo").alias("x"), "m"))).alias("s"))
+        small = large.hint("merge").join(root, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("x"), "m"), F.struct(F.col("lo").alias("x"), "m"))).alias("s"))
         e = save(small.where("s.x != s.m").select(F.col("s.x").alias("hi"), F.col("s.m").alias("lo")).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:

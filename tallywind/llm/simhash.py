@@ -71,7 +71,8 @@ def hamming_links(fps: DataFrame) -> DataFrame:
     probes = table.select(F.col("fp").alias("probe"), "seg", F.explode(F.concat(F.array("val"), flips)).alias("ball"), "val")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= 2
     once = (F.col("ball") != F.col("p.val")) | (F.col("probe") < F.col("fp"))
-    return table.alias("t").join(probes.alias("p"), (F.col("t.seg") == F.col("p.seg")) & (F.col("t.val") == F.col("ball")) & (F.col("fp") != F.col("probe")) & once & near).select(F.col("probe").alias("a"), F.col("fp").alias("b"))
+    # By merging: a probe makes up to 33 rows, which Spark's estimate doesn't know, and a broadcast of them would fill the driver.
+    return table.hint("merge").alias("t").join(probes.alias("p"), (F.col("t.seg") == F.col("p.seg")) & (F.col("t.val") == F.col("ball")) & (F.col("fp") != F.col("probe")) & once & near).select(F.col("probe").alias("a"), F.col("fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -79,10 +80,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42)
     each = save(fingerprints(docs, words_per_shingle, seed), "fingerprints")
     distinct = save(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     parts = connected_components(hamming_links(distinct.select("fp")))
-    of = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
+    of = distinct.hint("merge").join(parts, distinct.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
     of = save(of, "fingerprint-parts")
     smallest = save(of.groupBy("part").agg(F.min("first_id").alias("component_id")), "smallest")  # so that the join of a large part can be split
-    return each.join(of.join(smallest, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return each.hint("merge").join(of.hint("merge").join(smallest, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, words_per_shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -261,7 +262,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     nodes = save(each.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("keys").alias("keys")), "banded-nodes")
     table = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     least = table.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "least")
-    ties = save(table.join(least, ["band", "key"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ties")
+    ties = save(table.hint("merge").join(least, ["band", "key"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ties")
     members = save(nodes.join(connected_components(ties).withColumnRenamed("component", "part"), "node"), "parts")
     sizes = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("size") / BYTES)).cast("int").alias("blocks"))
     members = save(members.join(sizes, "part").select("node", "part", "blocks", "size", "keys"), "sized-parts")

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 from tallywind.llm import mixing, packing, pii, quality, queries, rans, secret_scan, simhash, tokens, topk, vector_dedup, warc
-from tallywind.llm.common import connected_components
+from tallywind.llm.common import connected_components, save
 
 TEXTS = [
     None, "", " ", "one", "a b", "The Same text here", "the same TEXT here", "x" * 3000, "1 2 3 " * 2000 + "7" * 3000,
@@ -298,6 +298,14 @@ def test_near_copies_against_exact_similarity(spark):
     assert kept.columns == empty.columns and kept.count() == 0
 
 
+def test_near_duplicates_broadcast_no_fingerprints(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(simhash, "save", lambda df, label: plans.append(df) or save(df, label))
+    docs = spark.createDataFrame([(i, f"text of number {i} and {i * i}") for i in range(40)], "doc_id long, text string")
+    plans += [simhash.hamming_links(simhash.fingerprints(docs)), simhash.near_duplicates(docs)]
+    assert len(plans) > 4 and not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+
+
 def shingles_of(text):
     words = text.split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
