@@ -8,8 +8,9 @@ Candidates come from an equi-join on (segment, value), the whole distance is ver
 and only links leave it: at most 2080 other fingerprints are that near, so the links of a fingerprint are bounded.
 Exact copies share a fingerprint and meet the join once.
 
-near_copies and keep_one link by the exact Jaccard similarity of distinct word shingles instead, without fingerprints:
-candidates share a band of minima of their sets, which loses a pair at the threshold with a chance of at most MISS.
+near_copies and keep_one compare what the fingerprints' links tie, and link by the exact Jaccard similarity of distinct word
+shingles. At a similarity of 0.8 many pairs differ in more than 2 bits: texts that share a band of minima of their sets are
+candidates too, which loses a pair at the threshold with a chance of at most MISS.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; a null doc_id gets its row
 (it is never a component's smallest id, unless all are null); repeated rows stay; an empty table gives no rows;
@@ -121,12 +122,13 @@ def band_keys(hashes: np.ndarray, bands: int, minima: int) -> np.ndarray:
 def _banded(words_per_shingle: int, seed: int, bands: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys = [], []
+            sizes, fps, keys = [], [], []
             for t in b.column(2):
                 hashes = shingle_set(t.as_py(), words_per_shingle, seed)
                 sizes.append(len(hashes))
+                fps.append(fingerprint(t.as_py(), seed=seed))
                 keys.append(band_keys(hashes, bands, minima) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "fp", "keys"])
         give_back()
 
     return run
@@ -247,8 +249,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     """doc_id and component_id (smallest doc_id that links reach). Two texts link where the Jaccard similarity of their
     sets of distinct word shingles is at least `similarity`; every link is verified exactly, on 64-bit hashes of the shingles.
 
-    Candidates share a bucket, a band's key, by minima of the sets in bands (MinHash): a pair at the threshold shares none with a
-    chance of at most MISS. A bucket's members are tied to its smallest, and all that ties reach is a part, so that candidate pairs
+    Candidates share a bucket. The first band's buckets are the components of the fingerprints' links (SimHash, as in near_duplicates),
+    the others' are keys by minima of the sets (MinHash): a pair at the threshold shares none with a chance of at most MISS. A bucket's members are tied to its smallest, and all that ties reach is a part, so that candidate pairs
     never become rows: a part's texts come together once, and the buckets within it are compared in Python, on each text's
     set, unless links tie all of a bucket already. A part over BLOCK texts or BYTES is cut into blocks, and a pair of blocks
     is a separate piece of work, so that a text is sent as often as there are blocks. A part of more blocks than bands, which texts
@@ -257,9 +259,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     bands, minima = bands_for(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    each = named.mapInArrow(_banded(words_per_shingle, seed, bands, minima), "doc_id long, node long, size long, keys array<long>")
+    each = named.mapInArrow(_banded(words_per_shingle, seed, bands, minima), "doc_id long, node long, size long, fp long, keys array<long>")
     each = save(each.withColumn("node", F.when(F.col("size") > 0, F.col("node"))), "bands")  # wordless texts share node null
-    nodes = save(each.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("keys").alias("keys")), "banded-nodes")
+    nodes = save(each.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "banded-nodes")
+    near = save(connected_components(hamming_links(save(nodes.select("fp").distinct(), "distinct-fingerprints"))).toDF("fp", "near"), "near-fingerprints")
+    first = F.array(F.coalesce("near", "fp"))
+    nodes, bands = save(nodes.hint("merge").join(near, "fp", "left").select("node", "size", F.concat(first, "keys").alias("keys")), "keyed-nodes"), bands + 1
     table = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     least = table.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "least")
     ties = save(table.hint("merge").join(least, ["band", "key"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ties")

@@ -306,6 +306,34 @@ def test_near_duplicates_broadcast_no_fingerprints(spark, monkeypatch):
     assert len(plans) > 4 and not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
 
 
+def test_near_copies_compare_what_fingerprints_link(spark, monkeypatch):
+    """Without minima the fingerprints' links alone make candidates, and those below the similarity are left out."""
+    words = [f"v{i}" for i in range(300)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "end"])), (2, "other words altogether here now"), (3, f"{' '.join(words)} more")]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    asked = []
+    monkeypatch.setattr(simhash, "_banded", unshared_bands)
+    monkeypatch.setattr(simhash, "hamming_links", lambda fps, find=simhash.hamming_links: asked.append(fps) or find(fps))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    links = [(a, b) for a in (0, 1, 3) for b in (0, 1, 3) if a < b and ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 2]
+    assert len(asked) == 1 and links and all(got[a] == got[b] for a, b in links) and got[2] == 2
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, 0.9999).collect()} == {i: i for i in range(4)}
+
+
+def unshared_bands(*options, make=simhash._banded):
+    """Keys by the text itself: no two texts share a band."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in make(*options)(batches):
+            nodes = b.column("node").to_pylist()
+            keys = [None if k is None else [n ^ i for i in range(len(k))] for n, k in zip(nodes, b.column("keys").to_pylist(), strict=True)]
+            yield b.set_column(b.schema.get_field_index("keys"), "keys", pa.array(keys, pa.list_(pa.int64())))
+
+    return run
+
+
 def shingles_of(text):
     words = text.split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
