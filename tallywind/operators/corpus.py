@@ -44,11 +44,12 @@ def search_terms(terms: DataFrame, vocabulary: DataFrame, stop: list[str], term:
 def language(text: Column, profiles: dict[str, list[str]], least: int = 10) -> Column:
     """F-15: the language whose frequent words a text has most of, the first in order where several do; 'NA' for texts
     of at most `least` characters and where no such word is there."""
-    found = F.split(F.lower(text), r"[^a-zà-öø-ÿ]+")
     among = lambda p: lambda w: w.isin(p)
-    hits = F.array(*(F.struct(F.size(F.filter(found, among(p))).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(profiles.items())))
-    best = F.array_max(hits)
-    return F.when((F.length(text) > least) & (best.getField("n") > 0), best.getField("name")).otherwise("NA")
+    hits = lambda known: F.array_max(F.array(*(F.struct(F.size(F.filter(known, among(p))).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(profiles.items()))))
+    known = F.filter(F.split(F.lower(text), r"[^a-zà-öø-ÿ]+"), among(sorted({w for p in profiles.values() for w in p})))
+    # Arrays of one element: what a lambda gets has been worked out once, else a text is cut for each profile and use.
+    best = F.transform(F.transform(F.array(known), hits), lambda b: F.when(b.getField("n") > 0, b.getField("name")).otherwise("NA"))[0]
+    return F.when(F.length(text) > least, best).otherwise("NA")
 
 
 def canonical(df: DataFrame, source: str, prefix: str, words: int = 50) -> tuple[DataFrame, DataFrame]:

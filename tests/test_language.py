@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tallywind.functions import language as L
-from tallywind.operators import frequency, series, topics
+from tallywind.operators import corpus, frequency, series, topics
 
 # Pairs of the published sample vocabulary of the English stemmer.
 PAIRS = """consigned consign consistency consist consolatory consolatori consolidating consolid conspicuously conspicu conspirators conspir constancy constanc knackeries knackeri kneeling kneel knives knive
@@ -113,3 +114,10 @@ def test_latent_topics_of_many_terms(spark):
         best = sorted(range(40), key=lambda t: -abs(v[j, t]))[:5]
         assert [mine[i].term for i in range(5)] == [f"w{t}" for t in best] and abs(mine[0].singular - s[j]) < 1e-6 * s[0] and mine[0].loading > 0
     assert topics.latent_topics(rows.where("false"), "doc", "term", "w", 3).count() == 0
+
+
+def test_a_text_is_cut_once_for_all_profiles(spark):
+    df = spark.createDataFrame([("der und the the of it",), ("les une",), ("nothing of these words",), ("the",), (None,)], "t string")
+    named = df.select(corpus.language(F.col("t"), {"en": ["the", "of"], "de": ["der", "und"], "fr": ["les"]}).alias("l"))
+    assert [r.l for r in named.collect()] == ["en", "NA", "en", "NA", "NA"]
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
