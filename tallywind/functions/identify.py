@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywind.sources.shared import save
+
 #: Letters of a piece of a word; languages at most, so that the profiles' size is bounded (kept n-grams a language times this).
 PIECE, LANGUAGES = 32, 64
 
@@ -27,6 +29,7 @@ def learn(texts: DataFrame, text: str, label: str, longest: int = 3, keep: int =
     Null texts and labels are left out. Over 64 languages are an error."""
     rows = texts.select(F.col(label).alias("lang"), F.explode(pieces(F.col(text))).alias("word")).where("lang is not null").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = rows.select("lang", F.explode(word_grams(F.col("word"), longest)).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = save(counts, "gram-counts")  # read four times below; texts are cut once
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= keep)
     grams = best.select("gram").distinct()
     kept = counts.join(grams, "gram")
@@ -45,14 +48,16 @@ def identify(texts: DataFrame, key: str, text: str, profiles: DataFrame, languag
     """(key, language): the one whose summed weights of a text's n-grams are highest, ties to the first by name. Texts of
     at most `shortest` characters, null ones and those without a known n-gram are 'NA'. A row for each key; repeated keys are one text.
 
-    Words are counted by text before they are cut, and the profiles (at most 64 languages times what is kept) are broadcast."""
+    Words are counted by text, and each distinct word is cut and weighed once for all texts; the profiles (at most 64 languages times what is kept) are broadcast."""
     long = texts.select(F.col(key).alias("key"), F.when(F.length(text) > shortest, F.col(text)).alias("t"))
     words = long.select("key", F.explode(pieces(F.col("t"))).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
-    found = words.select("key", "n", F.explode(word_grams(F.col("word"), longest)).alias("gram")).join(F.broadcast(profiles), "gram")
     every = long.select("key").distinct()
     if not languages:
         return every.select(F.col("key").alias(key), F.lit("NA").alias("language"))
-    sums = found.groupBy("key").agg(*(F.sum(F.col("w")[i] * F.col("n")).alias(f"s{i}") for i in range(len(languages))))
+    each = words.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("texts"))  # reads n, so that the words' shuffle serves both
+    found = each.select("word", F.explode(word_grams(F.col("word"), longest)).alias("gram")).join(F.broadcast(profiles), "gram")
+    weighed = found.groupBy("word").agg(*(F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(languages))))
+    sums = words.join(weighed, "word").groupBy("key").agg(*(F.sum(F.col(f"w{i}") * F.col("n")).alias(f"s{i}") for i in range(len(languages))))
     top = F.array_max(F.array(*(F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(len(languages)))))
     named = sums.select("key", F.get(F.array(*map(F.lit, languages)), -top.i).alias("language"))
     return every.join(named.withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of")), "left").select(F.col("key").alias(key), F.coalesce("language", F.lit("NA")).alias("language"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tallywind.functions import identify
 from tallywind.functions import language as L
 from tallywind.operators import corpus, frequency, series, topics
 
@@ -121,3 +122,13 @@ def test_a_text_is_cut_once_for_all_profiles(spark):
     named = df.select(corpus.language(F.col("t"), {"en": ["the", "of"], "de": ["der", "und"], "fr": ["les"]}).alias("l"))
     assert [r.l for r in named.collect()] == ["en", "NA", "en", "NA", "NA"]
     assert named._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_distinct_words_are_weighed_once(spark):
+    texts = spark.createDataFrame([(i, "the same words again and again " * 3, "en" if i % 2 else "de") for i in range(30)], "k long, t string, l string")
+    profiles, languages = identify.learn(texts, "t", "l")
+    rows = identify.identify(texts, "k", "t", profiles, languages)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.language for r in rows.collect()} == {"de"}
+    generated = [line for line in plan.splitlines() if "Generate explode" in line and "gram" in line]
+    assert generated and all("key" not in line for line in generated)
