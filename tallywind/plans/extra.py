@@ -53,8 +53,9 @@ def lemmatised(spark, d):
 # Stems have no SQL; tests compare them with published pairs.
 @query()
 def stem_counts(spark, d):
-    rows = table(spark, d, "documents").where("lang = 'en'").select(F.explode(L.stems(T.words(F.col("text")))).alias("stem"))
-    return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    """Words are counted first: Python gets each distinct one, not whole texts."""
+    words = table(spark, d, "documents").where("lang = 'en'").select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(F.get(L.stems(F.array("word")), F.lit(0)).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH t AS (SELECT source, unnest({WORDS}) AS token FROM documents), n AS (SELECT source, token, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT token, sum(n) AS f FROM n GROUP BY 1), a AS (SELECT sum(n) / count(DISTINCT source) AS a FROM n)
