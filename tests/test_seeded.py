@@ -55,3 +55,32 @@ def test_odd_tables(spark):
     with pytest.raises(Exception, match="no topic 5"):
         seeded.seeded_topics(planted(spark, 5), "doc", "term", 3, seeds, 1).collect()
     assert seeded.seeded_topics(planted(spark, 5).where("false"), "doc", "term", 3, seeds.where("false"), 1).count() == 0
+
+
+def test_documents_side_by_side_are_as_each_alone():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 30, 40)
+    starts = np.cumsum(sizes) - sizes
+    terms, counts, beta = np.concatenate([rng.permutation(50)[:n] for n in sizes]), rng.integers(1, 5, sizes.sum()).astype(float), rng.random((50, 3))
+    told = seeded.infer(terms, counts, starts, beta, 0.3)
+    for at, n in zip(starts, sizes, strict=True):
+        b, gamma = beta[terms[at : at + n]], np.ones(3)
+        for _ in range(50):
+            theta = np.exp(seeded.digamma(gamma) - seeded.digamma(np.array([gamma.sum()])))
+            before, gamma = gamma, 0.3 + theta * (counts[at : at + n] / (b @ theta) @ b)
+            if np.abs(before - gamma).mean() < 1e-3:
+                break
+        theta = np.exp(seeded.digamma(gamma) - seeded.digamma(np.array([gamma.sum()])))
+        assert np.allclose(told[at : at + n], np.outer(counts[at : at + n] / (b @ theta), theta) * b)
+
+
+def test_blocks_grow_with_the_table_and_not_their_number(spark, monkeypatch):
+    """Each block is sent its words' weights, so that small blocks send nearly a row for each row of the table."""
+    made = []
+    real = seeded.save
+    monkeypatch.setattr(seeded, "save", lambda df, label: made.append((label, real(df, label))) or made[-1][1])
+    monkeypatch.setattr(seeded, "ROWS", 10)
+    seeded.seeded_topics(planted(spark), "doc", "term", 3, spark.createDataFrame([("b1", 0)], "term string, topic int"), 1)
+    blocks = dict(made)["topic-blocks"]
+    assert 1 < blocks.select("at").distinct().count() <= 4 * spark.sparkContext.defaultParallelism
+    assert blocks.where("word is null").count() == 120  # a row a document
