@@ -130,8 +130,8 @@ def learn_phrases(docs: DataFrame, doc: str, words: str, order: int = 2, least:
 
 def umass(terms: DataFrame, topics: DataFrame, doc: str, term: str) -> DataFrame:
     """A-32: sum over pairs of a topic's words of ln((D(wi, wj) + 1) / D(wj)), wj the higher-ranked; 0 where no text holds wj.
-    topics(topic, rank, word)."""
-    held = terms.select(doc, F.col(term).alias("word")).distinct().join(topics, "word")
+    topics(topic, rank, word): short lists, which are broadcast, so that only their words are shuffled."""
+    held = terms.select(doc, F.col(term).alias("word")).join(F.broadcast(topics.select("word").distinct()), "word", "left_semi").distinct().join(F.broadcast(topics), "word")
     single = held.groupBy("topic", "rank").agg(F.count(F.lit(1)).alias("d"))
     a, b = held.alias("a"), held.alias("b")
     both = a.join(b, (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.topic") == F.col("b.topic")) & (F.col("a.rank") > F.col("b.rank"))).groupBy(F.col("a.topic").alias("topic"), F.col("a.rank").alias("ri"), F.col("b.rank").alias("rj")).agg(F.count(F.lit(1)).alias("dij"))
