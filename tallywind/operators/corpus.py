@@ -23,10 +23,11 @@ def in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, token: str = "token"
 
 
 def oov_rate(tokens: DataFrame, vocabulary: DataFrame, doc: str, token: str = "token") -> DataFrame:
-    """A-34: tokens, those outside the vocabulary, and their share, by document."""
-    known = vocabulary.select(token).distinct().withColumn("known", F.lit(1))
-    by = tokens.groupBy(doc, token).agg(F.count(F.lit(1)).alias("n")).join(known, token, "left")
-    return by.groupBy(doc).agg(F.sum("n").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("oov")).withColumn("oov_rate", F.col("oov") / F.col("n_tokens"))
+    """A-34: tokens, those outside the vocabulary, and their share, by document. The vocabulary, which its `keep` bounds (S-06),
+    is broadcast: what is shuffled are two sums a document and task."""
+    known = F.broadcast(vocabulary.select(token).distinct().withColumn("known", F.lit(1)))
+    by = tokens.select(doc, token).join(known, token, "left").groupBy(doc).agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("known").isNull()).alias("oov"))
+    return by.withColumn("oov_rate", F.col("oov") / F.col("n_tokens"))
 
 
 def search_terms(terms: DataFrame, vocabulary: DataFrame, stop: list[str], term: str = "term", token: str = "token") -> DataFrame:

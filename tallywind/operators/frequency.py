@@ -45,9 +45,11 @@ def tfidf(terms: DataFrame, doc: str, term: str) -> DataFrame:
 def doc_frequency(terms: DataFrame, doc: str, term: str, least: int, most: float, keep: int) -> DataFrame:
     """A-25, S-06: words in at least `least` and at most a share `most` of the documents, the `keep` most frequent."""
     tf = terms.where(F.col(term).isNotNull()).groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(term).agg(F.count_if(F.col("tf") > 0).alias("df"))
-    n = tf.select(F.count_distinct(F.when(F.col("tf") > 0, F.col(doc))).alias("docs"))
-    return df.crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most * F.col("docs"))).orderBy(F.desc("df"), term).limit(keep).select(term, "df")
+    df = tf.groupBy(term).agg(F.count_if(F.col("tf") > 0).alias("df")).where(F.col("df") >= least)
+    if most < 1:  # else no word is in too many
+        n = tf.select(F.count_distinct(F.when(F.col("tf") > 0, F.col(doc))).alias("docs"))
+        df = df.crossJoin(F.broadcast(n)).where(F.col("df") <= most * F.col("docs"))
+    return df.orderBy(F.desc("df"), term).limit(keep).select(term, "df")
 
 
 def bigrams(tokens: DataFrame, doc: str, words: str, least: int, threshold: float) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallywind.functions import text as T
 from tallywind.operators import corpus, evaluate, frequency, publish, search, series
-from tallywind.plans.catalogue import ALIASES, C, DAILY, DOWN, HOST, MONTH, MONTHLY, SPACED, STOP, TERMS, TOP_WORDS, UP, WORDS, crises, daily, documents, monthly, precrisis_labels, query, scores_sql, table, token_rows, top_words, with_z, z_sql
+from tallywind.plans.catalogue import ALIASES, C, DAILY, DOWN, HOST, MONTH, MONTHLY, SPACED, STOP, TERMS, TOP_WORDS, UP, WORDS, crises, daily, document_tokens, documents, monthly, precrisis_labels, query, scores_sql, table, token_rows, top_words, with_z, z_sql
+from tallywind.sources.shared import save
 
 TAGS = "list_filter([" + ", ".join(f"CASE WHEN len(list_intersect({WORDS}, [{', '.join(map(repr, a))}])) > 0 THEN '{e}' END" for e, a in ALIASES.items()) + "], lambda x: x IS NOT NULL)"
 ENTITY = f"e AS (SELECT doc_id, {MONTH} AS period, unnest({TAGS}) AS entity FROM documents)"
@@ -22,7 +23,7 @@ def tagged(spark, d):
 
 
 def vocabulary(spark, d):
-    return frequency.doc_frequency(token_rows(spark, d), "doc_id", "token", 20, 1.0, 500_000)
+    return frequency.doc_frequency(document_tokens(spark, d), "doc_id", "token", 20, 1.0, 500_000)
 
 
 @query(f"WITH {ENTITY}, n AS (SELECT entity, period, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL) SELECT entity, period, n, CAST(sum(n) OVER w AS BIGINT) AS total, round(avg(n) OVER w, 6) AS mean FROM n WINDOW w AS (PARTITION BY entity)")
