@@ -33,8 +33,9 @@ def group_index(freq: DataFrame, groups: DataFrame, periods: DataFrame, entity:
 def tfidf(terms: DataFrame, doc: str, term: str) -> DataFrame:
     """A-26, A-27: tf * log2(N / df), each document's vector of length 1. terms: a row per occurrence; null terms are none.
 
-    Both counts read tf's column, so that the three plans share one shuffle of tf and texts are cut into words once."""
-    tf = terms.where(F.col(term).isNotNull()).groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
+    Both counts read tf's column, so that the three plans share one shuffle of tf, by term, and texts are cut into words once.
+    Where a document's terms are in one task already, tf itself needs no shuffle."""
+    tf = terms.where(F.col(term).isNotNull()).groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf")).repartition(term)
     df = tf.groupBy(term).agg(F.count_if(F.col("tf") > 0).alias("df"))
     n = tf.select(F.count_distinct(F.when(F.col("tf") > 0, F.col(doc))).alias("docs"))  # one row
     w = tf.join(df, term).crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * F.log2(F.col("docs") / F.col("df")))
