@@ -232,11 +232,12 @@ CS = "c AS (SELECT country, seq, s AS start, p AS peak FROM (SELECT DISTINCT sou
  x AS (SELECT seed, country, period, CAST(coalesce(hit, 0) * 1000000 // total AS BIGINT) AS freq FROM n CROSS JOIN t0 LEFT JOIN g USING (seed, country, period)), {CS}, {z_sql('x', 'seed, country', 'period', 'freq', 12)},
  s AS (SELECT seed, country, period FROM z WHERE {UP} = 1), {scores_sql('s', 'seed').replace('FROM t CROSS JOIN c', 'FROM t0 CROSS JOIN c')}""")
 def random_word_benchmark(spark, d):
-    drawn = F.broadcast(corpus.random_words(token_rows(spark, d), "token", 100, 50, vocabulary(spark, d)).select("seed", "token"))  # 50 words a seed
+    drawn = F.broadcast(save(corpus.random_words(token_rows(spark, d), "token", 100, 50, vocabulary(spark, d)).select("seed", "token"), "random-words"))  # 50 words a seed
     seeds = spark.range(100).select(F.col("id").cast("int").alias("seed"))
-    rows = token_rows(spark, d, "source").select(F.col("source").alias("country"), "period", "token").groupBy("country", "period", "token").agg(F.count(F.lit(1)).alias("n"))
+    known = drawn.select("token", F.col("token").alias("word")).distinct()  # other words count in the total only, as one
+    rows = token_rows(spark, d, "source").join(F.broadcast(known), "token", "left").groupBy(F.col("source").alias("country"), "period", "word").agg(F.count(F.lit(1)).alias("n"))
     total = rows.groupBy("country", "period").agg(F.sum("n").alias("total")).crossJoin(F.broadcast(seeds))
-    hit = rows.join(drawn, "token").groupBy("seed", "country", "period").agg(F.sum("n").alias("hit"))
+    hit = rows.join(drawn, F.col("word") == F.col("token")).groupBy("seed", "country", "period").agg(F.sum("n").alias("hit"))
     index = total.join(hit, ["seed", "country", "period"], "left").select("seed", "country", "period", F.expr("coalesce(hit, 0) * 1000000 div total").alias("freq"))
     dates = spark.createDataFrame([(1, "2016-10-01", "2016-12-01"), (2, "2018-02-01", "2018-04-01")], "seq int, s string, p string").select("seq", F.to_date("s").alias("start"), F.to_date("p").alias("peak"))
     c = table(spark, d, "documents").select(F.col("source").alias("country")).distinct().crossJoin(F.broadcast(dates))
