@@ -8,7 +8,7 @@ from tallywind.functions import dimensions, identify, tables
 from tallywind.functions import language as L
 from tallywind.functions import text as T
 from tallywind.operators import density, evaluate, frequency, networks, seeded, series, subwords, topics
-from tallywind.plans.catalogue import MONTH, MONTHLY, TERMS, TOPICS, UP, WORDS, documents, monthly, query, scores_sql, table, token_rows, z_sql
+from tallywind.plans.catalogue import MONTH, MONTHLY, TERMS, TOPICS, UP, WORDS, document_tokens, documents, monthly, query, scores_sql, table, token_rows, z_sql
 from tallywind.sources import feeds, matrices, shared, stored
 from tallywind.sources.avro import Avro
 
@@ -91,8 +91,8 @@ def topic_clusters(spark, d):
 
 @query()
 def latent_topics(spark, d):
-    rows = frequency.tfidf(token_rows(spark, d), "doc_id", "token")
-    words = frequency.doc_frequency(token_rows(spark, d), "doc_id", "token", 20, 0.5, 500_000)
+    rows = frequency.tfidf(document_tokens(spark, d), "doc_id", "token")
+    words = frequency.doc_frequency(document_tokens(spark, d), "doc_id", "token", 20, 0.5, 500_000)
     return topics.latent_topics(rows.join(words.select("token"), "token", "left_semi"), "doc_id", "token", "tfidf", 5)
 
 
@@ -199,7 +199,7 @@ def network_predictions(spark, d):
 @query()
 def seeded_topics(spark, d):
     seeds = spark.createDataFrame([("the", 0), ("and", 0), ("der", 1), ("und", 1), ("les", 2), ("une", 2), ("los", 3), ("del", 3)], "term string, topic int")
-    lam = seeded.seeded_topics(token_rows(spark, d).select("doc_id", "token"), "doc_id", "token", 4, seeds, 5)
+    lam = seeded.seeded_topics(document_tokens(spark, d).select("doc_id", "token"), "doc_id", "token", 4, seeds, 5)
     return seeded.topic_terms(lam).withColumn("weight", F.round("weight", 6))
 
 
@@ -227,7 +227,7 @@ def avro_documents(spark, d):
 def matrix_market_bag(spark, d):
     """All documents' counts by way of a Matrix Market corpus and its dictionary."""
     path = shared.new_folder(spark, "matrix")
-    docs, _ = matrices.write_bag(token_rows(spark, d), "doc_id", "token", path)
+    docs, _ = matrices.write_bag(document_tokens(spark, d), "doc_id", "token", path)
     entries, _ = matrices.read_matrix(spark, f"{path}/corpus")
     terms, _ = matrices.read_dictionary(spark, f"{path}/dictionary")
     rows = entries.join(docs.select(F.col("number").alias("row"), F.col("doc").alias("doc_id")), "row")
@@ -307,7 +307,7 @@ def customers_by_region_code(spark, d):
 def items_by_stored_frequencies(spark, d):
     """Benchmark items weighed by the documents' frequencies, which are fitted, stored and loaded."""
     docs, path = table(spark, d, "documents"), shared.new_folder(spark, "stored")
-    df = token_rows(spark, d).select("doc_id", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = document_tokens(spark, d).select("doc_id", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stored.keep(path, {"documents": docs.count()}, {"frequencies": df})
     model = stored.load(spark, path)
     items = table(spark, d, "benchmark").select("item_id", F.explode(T.words(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count(F.lit(1)).alias("tf"))
