@@ -18,8 +18,8 @@ def monthly_counts(df: DataFrame, entity: str, period: str) -> DataFrame:
 
 
 def in_vocabulary(tokens: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:
-    """FLT-10, FLT-24: the tokens that the vocabulary has."""
-    return tokens.join(vocabulary.select(token).distinct(), token, "left_semi")
+    """FLT-10, FLT-24: the tokens that the vocabulary has. Its `keep` bounds it (S-06), so that it is broadcast."""
+    return tokens.join(F.broadcast(vocabulary.select(token).distinct()), token, "left_semi")
 
 
 def oov_rate(tokens: DataFrame, vocabulary: DataFrame, doc: str, token: str = "token") -> DataFrame:
