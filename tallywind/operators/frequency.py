@@ -58,14 +58,12 @@ def bigrams(tokens: DataFrame, doc: str, words: str, least: int, threshold: floa
 
     Words and pairs are counted in one pass over the texts; what is kept of the counts is written, and read for each use."""
     tokens = tokens.select(F.filter(words, lambda x: x.isNotNull()).alias("_w"))
-    w = F.col("_w")  # a column: within the lambda an expression would be worked out for each word
-    grams = F.transform(w, lambda a, i: F.array(F.struct(a.alias("a"), F.lit(None).cast("string").alias("b")), F.struct(a.alias("a"), F.get(w, i + 1).alias("b"))))
-    counted = tokens.select(F.explode(F.flatten(grams)).alias("g")).select("g.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("nab"))
-    # A text's last word makes a pair with nothing: it counts among the words, twice.
-    ends = tokens.where(F.size(w) > 0).select(F.element_at(w, -1).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("twice"))
-    counted = save(counted.where(F.col("b").isNull() | (F.col("nab") >= least)), "grams")
-    one = counted.where("b is null").drop("b").join(ends, "a", "left").select(F.col("a").alias("w"), (F.col("nab") - F.coalesce("twice", F.lit(0))).alias("n"))
-    one, two = save(one, "gram-words"), counted.where("b is not null")
+    w = F.col("_w")
+    pairs = tokens.select(F.inline(F.arrays_zip(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))).cast("array<struct<a:string,b:string>>")))  # a text's last word is with a null
+    counted = pairs.groupingSets([["a", "b"], ["a"]], "a", "b").agg(F.count(F.lit(1)).alias("nab"), F.grouping("b").alias("single"))
+    counted = save(counted.where((F.col("single") == 1) | (F.col("b").isNotNull() & (F.col("nab") >= least))), "grams")
+    one = save(counted.where("single = 1").select(F.col("a").alias("w"), F.col("nab").alias("n")), "gram-words")
+    two = counted.where("single = 0").drop("single")
     size = one.select(F.count(F.lit(1)).alias("v"))  # one row
     both = two.join(one.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(one.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(size))
     score = (F.col("nab") - least) * F.col("v") / (F.col("na") * F.col("nb"))

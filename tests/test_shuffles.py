@@ -60,3 +60,12 @@ def test_repeated_documents_are_one(spark):
     tokens = document_tokens(spark, path)
     assert {r.token: r.df for r in frequency.doc_frequency(tokens, "doc_id", "token", 1, 1.0, 10).collect()} == {"two": 3, "one": 1, "three": 1}
     assert {(r.doc_id, r.token): (r.tf, r.df) for r in frequency.tfidf(tokens, "doc_id", "token").where(F.col("token") == "two").collect()} == {(1, "two"): (2, 3), (2, "two"): (1, 3), (None, "two"): (1, 3)}
+
+
+def test_texts_are_cut_into_words_once_for_their_pairs(spark, monkeypatch):
+    asked, real = [], frequency.save
+    monkeypatch.setattr(frequency, "save", lambda df, label: asked.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "b", None]), (2, ["a", "b", "c"]), (3, []), (4, None), (5, ["c"])], "doc long, words array<string>")
+    got = frequency.bigrams(docs, "doc", "words", 1, 0.0).collect()
+    assert {(r.a, r.b): (r.nab, round(r.score, 6)) for r in got} == {("a", "b"): (3, round(2 * 3 / 9, 6))}
+    assert sum(p.count("LogicalRDD") for p in asked) == 1 and "flatten" not in asked[0]
