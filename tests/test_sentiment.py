@@ -78,3 +78,14 @@ def test_rules_equal_a_scan_by_hand(spark, sf):
     flat = [sentence_score(t) for t in ("The news is good.", "The news is very good.", "The news is VERY good!", "The news is not good.", "The news is barely good.")]
     assert flat[3] < 0 < flat[4] < flat[0] < flat[1] < flat[2]
     assert df.select(L.ruled_sentiment(F.col("t"), {}).alias("s")).where("s <> 0").count() == 0
+
+
+def test_rules_run_in_batches_with_long_lexicons(spark):
+    lexicon = LEXICON | {f"word{i}": 1.0 for i in range(5000)}  # too many for a literal that is searched for each token
+    texts = ["word4999 is GOOD.\x0b Not bad", "good! ", "a good day", "\t. good", "good."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", L.ruled_sentiment(F.col("t"), lexicon).alias("s"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.s for r in df.collect()}
+    one = lambda s: s / math.sqrt(s * s + 15)
+    want = [(one(1 + 1.9 + 0.733) + one(-2.5 * -0.74)) / 2, 0.0, 0.0, one(1.9) / 2, one(1.9)]  # Java's white space ends words, no other
+    assert all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want)), got
