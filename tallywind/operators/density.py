@@ -65,10 +65,10 @@ def _nearest(k: int):
             l, r = np.flatnonzero(own == mine), np.flatnonzero(own == other)
             for s in range(0, len(l), 256):
                 part = l[s : s + 256]
-                d = np.sqrt(((x[part][:, None, :] - x[r][None, :, :]) ** 2).sum(2)) if x.shape[1] < 16 else _far(x[part], x[r])
-                d[ids[part][:, None] == ids[r][None, :]] = np.inf
-                best = np.argsort(d, 1, kind="stable")[:, :k]
-                a, far = np.repeat(ids[part], best.shape[1]), np.take_along_axis(d, best, 1).ravel()
+                if not len(r):
+                    continue
+                best, far = _far(x[part], x[r], k, ids[part][:, None] == ids[r][None, :])
+                a, far = np.repeat(ids[part], best.shape[1]), far.ravel()
                 keep = np.isfinite(far)
                 out.append((a[keep], ids[r][best.ravel()][keep], far[keep]))
         a, b, d = (np.concatenate([o[c] for o in out]) if out else np.empty(0, (int, int, float)[c]) for c in range(3))
@@ -77,11 +77,29 @@ def _nearest(k: int):
     return run
 
 
-def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(y)))
-    for i, row in enumerate(x):  # differences, not products: equal vectors are at a distance of 0
-        out[i] = np.sqrt(((y - row) ** 2).sum(1))
-    return out
+def _far(x: np.ndarray, y: np.ndarray, k: int, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, distances) of each row's k nearest in y, ties by place, but for those marked `same`.
+
+    Products, in one multiplication, leave out what is surely farther: what remains is measured by differences, so that
+    equal vectors are at a distance of 0. What lies within the rounding of the k-th least is let through."""
+    k = min(k, len(y))
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    rough = xx[:, None] + yy[None, :] - 2 * (x @ y.T)
+    rough[same] = np.inf
+    rough[np.isnan(rough)] = -np.inf  # squares beyond doubles
+    bound = np.partition(rough, k - 1, 1)[:, k - 1] + 8 * (x.shape[1] + 4) * np.finfo(float).eps * (xx + yy.max(initial=0))
+    bound[~np.isfinite(bound)] = np.inf
+    row, col = np.nonzero((rough <= bound[:, None]) & ~same)
+    exact = np.empty(len(row))
+    for s in range(0, len(row), 4096):
+        exact[s : s + 4096] = np.sqrt(((y[col[s : s + 4096]] - x[row[s : s + 4096]]) ** 2).sum(1))
+    order = np.lexsort((col, exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    best, far = np.zeros((len(x), k), int), np.full((len(x), k), np.inf)
+    kept = place < k
+    best[row[kept], place[kept]], far[row[kept], place[kept]] = col[kept], exact[kept]
+    return best, far
 
 
 def neighbours(df: DataFrame, name: str, vector: str, k: int, cosine: bool = False, probes: int = 3, cell: int | None = None) -> DataFrame:

@@ -125,3 +125,20 @@ def test_topic_words_of_density_clusters(spark):
     rows = density.density_clusters(table(spark, np.arange(len(x)), x), "id", "v", 8)
     told = topics.outlier_share(rows, "cluster").first()
     assert told.topics >= 4 and 0 < told.outlier_percent < 30
+
+
+@pytest.mark.parametrize("dim", [3, 64])
+def test_nearest_by_products_are_those_by_differences(dim):
+    rng = np.random.default_rng(dim)
+    y = np.repeat(rng.normal(size=(150, dim)), 2, 0) + 1e6  # far from the origin products round much; each vector is there twice
+    y[40:45] += 1e-6 * rng.normal(size=(5, dim))
+    y[-1] = 1e200
+    x = y[::3]
+    same = np.zeros((len(x), len(y)), bool)
+    same[np.arange(len(x)), np.arange(0, len(y), 3)] = True
+    with np.errstate(all="ignore"):
+        best, far = density._far(x, y, 7, same)
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    d[same] = np.inf
+    want = np.argsort(d, 1, kind="stable")[:, :7]
+    assert (best == want).all() and (far == np.take_along_axis(d, want, 1)).all() and (far[:, 0] == 0).sum() > 40
