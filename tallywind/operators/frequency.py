@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywind.sources.shared import save
 
+#: Pairs of a level of phrases that are held by the driver and each worker; words of a block of texts, where there are more pairs.
+HELD, BLOCK = 1_000_000, 2_000_000
+
 
 def per_mille(tokens: DataFrame, keys: list[str], token: str = "token") -> DataFrame:
     """A-01, A-02: n, total and 1000 n / total by keys and token. The shuffle is of partial counts."""
@@ -72,7 +78,8 @@ def bigrams(tokens: DataFrame, doc: str, words: str, least: int, threshold: floa
 
 class Phrases:
     """Accepted phrases as a trie: level by level, what may follow a word. A scan takes a level's pairs from the left, each word
-    once, and what it joined is a word of the next level, so that a text costs its words times the levels."""
+    once, and what it joined is a word of the next level, so that a text costs its words times the levels. A level of too many
+    pairs to hold is a table (a, b), which `join_phrases` joins."""
 
     def __init__(self, levels: list[list[tuple[str, str]]] = (), glue: str = "_"):
         self.glue, self.levels = glue, []
@@ -85,6 +92,11 @@ class Phrases:
             after.setdefault(a, set()).add(b)
         self.levels.append(after)
 
+    def of(self, levels: list[dict[str, set[str]]]) -> Phrases:
+        some = Phrases(glue=self.glue)
+        some.levels = levels
+        return some
+
     def join(self, words: list[str], levels: int | None = None) -> list[str]:
         for after in self.levels[:levels]:
             out, i, n = [], 0, len(words)
@@ -100,29 +112,64 @@ class Phrases:
 
 
 def join_phrases(docs: DataFrame, words: str, phrases: Phrases) -> DataFrame:
-    """M-01 applied: docs with the phrases of an array of words joined. Nulls stay null; a null word is left out."""
-    import pyarrow as pa
+    """M-01 applied: docs with the phrases of an array of words joined. Nulls stay null; a null word is left out.
+
+    Levels that are held are broadcast as one trie; a level that is a table is joined by blocks of texts."""
+    for table, levels in groupby(phrases.levels, key=lambda x: isinstance(x, DataFrame)):
+        if table:
+            for pairs in levels:
+                docs = _joined_by_blocks(docs, words, pairs, phrases.glue)
+        else:
+            docs = _joined_by_trie(docs, words, phrases.of(list(levels)))
+    return docs
+
+
+def _joined(column: pa.ChunkedArray | pa.Array, phrases: Phrases) -> pa.Array:
+    return pa.array([None if x is None else phrases.join([w for w in x if w is not None]) for x in column.to_pylist()], pa.list_(pa.string()))
 
+
+def _joined_by_trie(docs: DataFrame, words: str, phrases: Phrases) -> DataFrame:
     shared, columns = docs.sparkSession.sparkContext.broadcast(phrases), docs.columns
 
     def run(batches):
         for b in batches:
-            joined = pa.array([None if x is None else shared.value.join([w for w in x if w is not None]) for x in b.column(words).to_pylist()], pa.list_(pa.string()))
+            joined = _joined(b.column(words), shared.value)
             yield pa.RecordBatch.from_arrays([joined if c == words else b.column(c) for c in columns], columns)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def learn_phrases(docs: DataFrame, doc: str, words: str, order: int = 2, least: int = 40, threshold: float = 10.0, keep: int = 1_000_000) -> tuple[Phrases, DataFrame]:
+def _joined_by_blocks(docs: DataFrame, words: str, pairs: DataFrame, glue: str) -> DataFrame:
+    """Texts are dealt to blocks of about BLOCK words; a block is sent those of the pairs that its texts have."""
+    columns, schema = docs.columns, docs.schema
+    docs = save(docs.withColumn("_id", F.monotonically_increasing_id()), "phrase-texts")  # an id is the same in both uses
+    total = docs.agg(F.sum(F.greatest(F.size(words), F.lit(0)))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK))
+    docs = docs.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    w = F.col("_w")
+    near = docs.select(F.col("_block").alias("_of"), F.filter(words, lambda x: x.isNotNull()).alias("_w")).select("_of", F.inline(F.arrays_zip(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))).cast("array<struct<a:string,b:string>>")))
+    mine = near.where("b is not null").distinct().join(pairs.select("a", "b"), ["a", "b"]).select("_of", "a", "b")
+
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        phrases = Phrases([list(zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True))], glue)
+        return pa.table([_joined(texts.column(words), phrases) if c == words else texts.column(c) for c in columns], names=columns)
+
+    return docs.drop("_id").groupBy("_block").cogroup(mine.groupBy("_of")).applyInArrow(run, schema)
+
+
+def learn_phrases(docs: DataFrame, doc: str, words: str, order: int = 2, least: int = 40, threshold: float = 10.0) -> tuple[Phrases, DataFrame]:
     """M-01: phrases of up to 2 ** (order - 1) words: the trie, and its rows (level, a, b, nab, score). Level 2 joins words,
     each next one what the level before made, at a threshold half as high again. docs(doc, words array).
 
-    A level's `keep` best-scored pairs are accepted; the trie is broadcast, so that `keep` bounds it."""
+    All pairs over the threshold are accepted. The trie holds a level of HELD pairs at most; a larger one stays a table."""
     found, told, current = Phrases(), None, docs.select(doc, words)
     for level in range(2, order + 1):
         pairs = bigrams(current, doc, words, least, threshold * 1.5 ** (level - 2))
-        pairs = save(pairs.orderBy(F.desc("score"), "a", "b").limit(keep).select(F.lit(level).alias("level"), "a", "b", "nab", "score"), "phrases")
-        found.add([(r.a, r.b) for r in pairs.select("a", "b").collect()])  # `keep` at most
+        pairs = save(pairs.select(F.lit(level).alias("level"), "a", "b", "nab", "score"), "phrases")
+        if pairs.count() > HELD:
+            found.levels.append(pairs.select("a", "b"))
+        else:
+            found.add([(r.a, r.b) for r in pairs.select("a", "b").collect()])  # HELD at most
         told = pairs if told is None else told.unionByName(pairs)
         if level < order:
             current = join_phrases(docs.select(doc, words), words, found)

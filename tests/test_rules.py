@@ -139,6 +139,26 @@ def test_phrases_of_three_levels(spark):
     assert [got[i] for i in range(200)] == current[:200] and got[900] is None and got[901] == [] and "bank_of_new_york" in got[0]
 
 
+def test_phrases_beyond_those_held_are_joined_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [[f"w{i}" for i in rng.integers(0, 30, 40)] + ["bank", "of", "new", "york"] * 2 for _ in range(60)]
+    table = spark.createDataFrame([(i, w) for i, w in enumerate(docs)] + [(900, None), (901, []), (902, ["bank", None, "of"])], "doc int, words array<string>")
+
+    def learnt():
+        found, rows = frequency.learn_phrases(table, "doc", "words", 3, 2, 0.005)
+        return found, sorted(rows.collect()), sorted(frequency.join_phrases(table, "words", found).collect())
+
+    held, rows, joined = learnt()
+    for most in (0, len([r for r in rows if r.level == 3])):  # both levels are tables, or one
+        monkeypatch.setattr(frequency, "HELD", most)
+        monkeypatch.setattr(frequency, "BLOCK", 500)
+        found, again, too = learnt()
+        assert [isinstance(x, dict) for x in held.levels + found.levels] == [True, True, False, most > 0]
+        assert len(rows) > 100 and again == rows and too == joined  # none is dropped
+    got = {r.doc: r.words for r in too}
+    assert got[900] is None and got[901] == [] and got[902] == ["bank_of"]
+
+
 def test_many_phrases_over_long_texts():
     import time
 
