@@ -3,7 +3,8 @@ word against the word itself and negative samples (CBOW; Mikolov, Sutskever, Che
 
 Texts are dealt to blocks once and named there by numbers. A pass sends each block the vectors of its own words, trains there
 on runs of words whose sums are products of matrices (Ji, Satish, Li and Dubey 2016), and sends the vectors to where those of
-one word meet; their mean goes back to the blocks. No task or driver holds all vectors, but a block those of its words.
+one word meet; their mean is written once and goes back to the blocks, and
+what the pass shuffled is removed. No task or driver holds all vectors, but a block those of its words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywind.operators.subwords import _blob, _floats, alias_table, draw
-from tallywind.sources.shared import save
+from tallywind.sources.shared import remove, save, save_at
 
 #: Words of a block, on average: that few at least while there are fewer blocks than tasks at once, that many at most;
 #: words of a piece of a text, numbers of a written row; words of a run, runs laid out at once, negative samples of a run; how many words' steps a vector takes in a run at most.
@@ -187,18 +188,18 @@ def _trained(size: int, window: int, negatives: int, rate: float, last: float, s
 
 
 def _met(size: int, last: bool):
-    """Of rows sorted by word and block, the means of a word's vectors by its counts there: for each of its blocks, or at last once, as an array."""
+    """Of rows sorted by word and block, the means of a word's vectors by its counts there, once for each word; at last as an array."""
 
     def means(t: pa.Table) -> pa.RecordBatch:
         word = t.column("word").combine_chunks()
         first = np.flatnonzero(np.r_[True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)])
         here = t.column("here").to_numpy().astype(float)
         v = np.add.reduceat(_floats(t.column("v"), 2 * size) * here[:, None], first, axis=0) / np.add.reduceat(here, first)[:, None]
+        word = word.take(pa.array(first))
         if last:
             ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * size)
-            return pa.RecordBatch.from_arrays([word.take(pa.array(first)), pa.ListArray.from_arrays(ends, pa.array(v[:, :size].ravel()))], ["word", "vector"])
-        rest = [t.column(c).combine_chunks() for c in ("block", "word", "here", "n")]
-        return pa.RecordBatch.from_arrays([*rest, _blob(np.repeat(v, np.diff(first, append=len(here)), axis=0))], ["block", "word", "here", "n", "v"])
+            return pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(ends, pa.array(v[:, :size].ravel()))], ["word", "vector"])
+        return pa.RecordBatch.from_arrays([word, _blob(v)], ["word", "v"])
 
     def run(batches):
         left = None
@@ -223,7 +224,7 @@ def train(docs: DataFrame, words: str, size: int = 200, window: int = 5, least:
     Null words and those rarer are left out before the window is laid, as gensim does. Texts are dealt to as many blocks as the session runs
     tasks at once, if each gets LEAST words, and to more where each would get over MOST. Vectors depend on the order in which texts are read."""
     texts = docs.select(F.filter(words, lambda w: w.isNotNull()).alias("words")).where("size(words) > 0")
-    texts = save(texts.select(F.monotonically_increasing_id().alias("id"), F.size("words").alias("many"), "words"), "vector-words")
+    texts, whole = save_at(texts.select(F.monotonically_increasing_id().alias("id"), F.size("words").alias("many"), "words"), "vector-words")
     total = texts.agg(F.sum("many")).first()[0] or 0
     blocks = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST)), -(-total // MOST))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -235,12 +236,16 @@ def train(docs: DataFrame, words: str, size: int = 200, window: int = 5, least:
     dealt = own.select("block", "kind", "word").unionByName(pieces, allowMissingColumns=True).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "word", "id", "piece")
     named = dealt.mapInArrow(_named(window), "block int, ids binary")
     named = save(named.select("block", F.lit(1).alias("kind"), F.monotonically_increasing_id().alias("id"), "ids"), "vector-texts")
-    given = own
+    remove(docs.sparkSession, whole)
+    given, old = own, None
     for step in range(passes):
         one, two = (rate * (1 - s / passes) for s in (step, step + 1))
         dealt = given.unionByName(named, allowMissingColumns=True).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "word", "id")
         moved = dealt.mapInArrow(_trained(size, window, negatives, one, two, seed, step == 0), ROWS)
         last = step == passes - 1
-        met = moved.repartition("word").sortWithinPartitions("word", "block").mapInArrow(_met(size, last), "word string, vector array<double>" if last else ROWS)
-        given = met if last else met.withColumn("kind", F.lit(0))
-    return save(given, "word-vectors")
+        met = moved.repartition("word").sortWithinPartitions("word", "block").mapInArrow(_met(size, last), "word string, vector array<double>" if last else "word string, v binary")
+        met, path = save_at(met, "word-vectors")
+        if old:
+            remove(docs.sparkSession, old)
+        given, old = met if last else own.join(met, "word"), path
+    return given

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,10 +30,28 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
-    """df written there and read back: its lineage ends, and a lost executor costs nothing."""
+    """df written there and read back: its lineage ends, and a lost executor costs nothing. What was shuffled for it is removed."""
+    return save_at(df, label)[0]
+
+
+def save_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As `save`, with the folder, for tables that are removed when they have been used."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written here are removed when it is written, and not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def remove(spark: SparkSession, path: str) -> None:
