@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from tallywind.sources.shared import numbered, place, save
+from tallywind.sources.shared import numbered, place, remove, save, save_at, shuffles_removed
 
 #: Fixed value of the format: the first line of a sparse matrix of real numbers.
 BANNER = "%%MatrixMarket matrix coordinate real general"
@@ -88,7 +88,8 @@ class Lines(DataSource):
 
 def write_lines(df: DataFrame, path: str, header: str, overwrite: bool) -> None:
     df.sparkSession.dataSource.register(Lines)
-    df.write.format("tallywind_lines").mode("overwrite" if overwrite else "append").option("header", header).save(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.format("tallywind_lines").mode("overwrite" if overwrite else "append").option("header", header).save(path)
 
 
 def head(path: str) -> list[str]:
@@ -116,11 +117,11 @@ def head(path: str) -> list[str]:
 def write_matrix(entries: DataFrame, path: str, row: str, column: str, value: str, rows: int, columns: int, overwrite: bool = False) -> None:
     """Entries (row and column from 1, value) in order of row and column. Entries with a null are an error; so is a folder
     that isn't empty, unless overwrite."""
-    i, j, v = (F.col(c) for c in (row, column, value))
+    ordered = entries.select(F.col(row).alias("i"), F.col(column).alias("j"), F.col(value).alias("v")).repartitionByRange("i", "j").sortWithinPartitions("i", "j")
+    i, j, v = (F.col(c) for c in "ijv")
     bad = i.isNull() | j.isNull() | v.isNull() | ~i.between(1, rows) | ~j.between(1, columns)
     line = F.when(bad, F.raise_error(F.lit("an entry is null or outside the matrix")).cast("string")).otherwise(F.concat_ws(" ", i.cast("long"), j.cast("long"), v.cast("double")))
-    ordered = entries.select(i.alias("i"), j.alias("j"), line.alias("line")).repartitionByRange("i", "j").sortWithinPartitions("i", "j")
-    write_lines(ordered.select("line"), path, f"{BANNER}\n{rows} {columns} {{lines}}", overwrite)
+    write_lines(ordered.select(line.alias("line")), path, f"{BANNER}\n{rows} {columns} {{lines}}", overwrite)
 
 
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int, int]]:
@@ -160,11 +161,12 @@ def write_bag(tokens: DataFrame, doc: str, token: str, path: str, overwrite: boo
     """Counts of tokens by document as `<path>/corpus` and its columns as `<path>/dictionary`, from rows (doc, token). Documents
     are numbered from 1 by doc, columns from 1 by token; a column's id in the dictionary is one less. Returns the numbers,
     (doc, number) and (token, number). Rows with a null are left out."""
-    counts = save(tokens.select(F.col(doc).alias("doc"), F.col(token).alias("token")).where("doc is not null and token is not null").groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n")), "bag")
+    counts, bag = save_at(tokens.select(F.col(doc).alias("doc"), F.col(token).alias("token")).where("doc is not null and token is not null").groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n")), "bag")
     docs, terms = save(numbered(counts, "doc", 1), "bag-documents"), save(numbered(counts, "token", 1), "bag-tokens")
     n, m = docs.count(), terms.count()
-    entries = counts.join(docs.withColumnRenamed("number", "i"), "doc").join(terms.withColumnRenamed("number", "j"), "token")
+    entries = counts.join(terms.withColumnRenamed("number", "j"), "token").select("doc", "j", "n").join(docs.withColumnRenamed("number", "i"), "doc")  # numbers instead of words first
     write_matrix(entries, f"{path}/corpus", "i", "j", "n", n, m, overwrite)
     spread = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     write_dictionary(spread.join(terms, "token").select((F.col("number") - 1).alias("id"), "token", "df"), f"{path}/dictionary", n, overwrite)
+    remove(tokens.sparkSession, bag)
     return docs, terms
